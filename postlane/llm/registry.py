@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from postlane.llm import near_duplicates
+from postlane.llm import language, near_duplicates, repeats, syncmers
 
 QUERIES = {
+    "op2_suffix_family": repeats.op2_suffix_family,
+    "op3_syncmers": syncmers.op3_syncmers,
+    "op4_language": language.op4_language,
     "op10_simhash_golay": near_duplicates.op10_simhash_golay,
 }
 
