@@ -90,13 +90,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for at in range(0, b.num_rows, 2000):
-            part = b.slice(at, 2000)
-            words = np.stack([part.column(k + 1).to_numpy(zero_copy_only=False).view(np.uint64) for k in range(2)], axis=1)
-            key, n = keys_of(words)
+            hi, lo = (b.column(k).slice(at, 2000).to_numpy(zero_copy_only=False) for k in range(2))
+            whole = (hi.astype(np.uint64) << np.uint64(9)) | (lo.astype(np.uint64) >> np.uint64(46))
+            key, n = keys_of(np.stack([whole, lo.astype(np.uint64)], axis=1))
             row = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key.astype(np.int32)), *(part.column(k).take(pa.array(row)) for k in range(3))], ["key", "doc_id", "w0", "w1"]
-            )
+            yield pa.RecordBatch.from_arrays([pa.array((key << 37) | hi[row]), pa.array(lo[row])], ["k", "f"])
 
 
 def _bits(k: int, a: str, b: str) -> str:
@@ -109,16 +107,23 @@ def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = N
     Candidates have two segments that share a Golay index. Fewer than nine differing bits among the 92 indexed leave
     at least two segments with two or fewer, so no such pair is missed; further apart, a pair is found when two of
     its segments share an index by chance, which measures at 0.99 for copies with a few words in a hundred changed.
-    A candidate pair is compared inside the join, on the two words that are indexed, before it is anything else.
+    A key and the 92 bits are two words of 64 bits, 16 bytes a key in the shuffle, and a candidate pair is compared
+    inside the join before it is anything else; what passes is looked up by its 92 bits and compared whole.
     """
-    mask = (1 << (2 * golay.BITS)) - 1
-    keyed = prints.select("doc_id", "w0", "w1", "w2", "w3").mapInArrow(_keyed, "key int, doc_id bigint, w0 bigint, w1 bigint")
-    l, r = keyed.alias("l"), keyed.alias("r")
-    close = f"bit_count((l.w0 ^ r.w0) & {mask}L) + bit_count((l.w1 ^ r.w1) & {mask}L) <= {near_bits}"
-    found = l.hint("merge").join(r, F.expr(f"l.key = r.key AND l.doc_id < r.doc_id AND {close}")).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
-    x, y = prints.alias("x"), prints.alias("y")
+    piece = (1 << (2 * golay.BITS)) - 1
+    nodes = prints.select("doc_id", *(f"w{k}" for k in range(WORDS)), F.expr(f"(w0 & {piece}L) >> 9").alias("hi"), F.expr(f"((w0 & 511L) << 46) | (w1 & {piece}L)").alias("lo"))
+    keyed = nodes.select("hi", "lo").distinct().mapInArrow(_keyed, "k bigint, f bigint")
+    low = (1 << 37) - 1
+    order = f"(l.k & {low}L < r.k & {low}L OR l.k & {low}L = r.k & {low}L AND l.f < r.f)"
+    close = f"bit_count((l.k ^ r.k) & {low}L) + bit_count(l.f ^ r.f) <= {near_bits}"
+    near = keyed.alias("l").hint("merge").join(keyed.alias("r"), F.expr(f"l.k >> 37 = r.k >> 37 AND {order} AND {close}"))
+    near = near.select(F.expr(f"l.k & {low}L").alias("ahi"), F.col("l.f").alias("alo"), F.expr(f"r.k & {low}L").alias("bhi"), F.col("r.f").alias("blo")).distinct()
+    x, y = nodes.alias("x"), nodes.alias("y")
     bits = " + ".join(_bits(k, "x", "y") for k in range(WORDS))
-    return found.join(x, F.expr("a = x.doc_id")).join(y, F.expr("b = y.doc_id")).select("a", "b", F.expr(bits).alias("bits")).where(F.col("bits") <= near_wide)
+    out = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(bits).alias("bits")]
+    found = near.join(x, F.expr("ahi = x.hi AND alo = x.lo")).join(y, F.expr("bhi = y.hi AND blo = y.lo")).select(*out)
+    same = x.join(y, F.expr("x.hi = y.hi AND x.lo = y.lo AND x.doc_id < y.doc_id")).select(*out)
+    return found.union(same).where(F.col("bits") <= near_wide)
 
 
 def components(edges: DataFrame) -> DataFrame:
