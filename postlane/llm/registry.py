@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from postlane.llm import language, near_duplicates, repeats, syncmers
+from postlane.llm import language, near_duplicates, preference, repeats, syncmers
 
 QUERIES = {
     "op2_suffix_family": repeats.op2_suffix_family,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_language": language.op4_language,
+    "op9_bradley_terry": preference.op9_bradley_terry,
     "op10_simhash_golay": near_duplicates.op10_simhash_golay,
 }
 

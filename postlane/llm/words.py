@@ -60,16 +60,21 @@ class Hasher:
     """64-bit hashes of byte ranges through prefix sums of a polynomial, the powers kept between blocks."""
 
     def __init__(self) -> None:
-        self.up = self.down = np.zeros(0, np.uint64)
+        self.up = self.down = self.total = np.zeros(0, np.uint64)
 
     def __call__(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         n = len(raw)
         if len(self.up) < n + 1:
             self.up, self.down = powers(_BASE, n + 1), powers(_INVERSE, n + 1)
         with np.errstate(over="ignore"):
-            total = np.zeros(n + 1, np.uint64)
-            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=total[1:])
-            return mix((total[ends] - total[starts]) * self.down[starts])
+            self.total = np.zeros(n + 1, np.uint64)
+            np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * self.up[:n], out=self.total[1:])
+        return self.again(starts, ends)
+
+    def again(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Hashes of other ranges of the bytes of the last call."""
+        with np.errstate(over="ignore"):
+            return mix((self.total[ends] - self.total[starts]) * self.down[starts])
 
 
 def grams(h: np.ndarray, k: int) -> np.ndarray:
