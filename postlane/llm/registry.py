@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from postlane.llm import language, near_duplicates, preference, repeats, syncmers
+from postlane.llm import language, near_duplicates, preference, repeats, secrets, syncmers
 
 QUERIES = {
+    "op1_secret_crf": secrets.op1_secret_crf,
     "op2_suffix_family": repeats.op2_suffix_family,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_language": language.op4_language,
