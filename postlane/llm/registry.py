@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from postlane.llm import language, line_rules, near_duplicates, preference, repeats, secrets, syncmers, warc
+from postlane.llm import language, line_rules, mixing, near_duplicates, packing, preference, repeats, secrets, syncmers, warc
 
 QUERIES = {
     "op1_secret_crf": secrets.op1_secret_crf,
     "op2_suffix_family": repeats.op2_suffix_family,
     "op3_syncmers": syncmers.op3_syncmers,
     "op4_language": language.op4_language,
+    "op5_pivotal_mixing": mixing.op5_pivotal_mixing,
+    "op6_genetic_packing": packing.op6_genetic_packing,
     "op7_warc_chunks": warc.op7_warc_chunks,
     "op8_line_rules": line_rules.op8_line_rules,
     "op9_bradley_terry": preference.op9_bradley_terry,
