@@ -81,26 +81,39 @@ class Ranker:
         return out
 
 
-def bradley_terry(x: np.ndarray, better: np.ndarray, worse: np.ndarray, *, l1: float = 3e-5, l2: float = 1e-4, rounds: int = 250) -> np.ndarray:
+class _Sparse:
+    """Dense columns and, after them, columns of zeros and ones given by the places of the ones."""
+
+    def __init__(self, dense: np.ndarray, row: np.ndarray, column: np.ndarray, columns: int) -> None:
+        self.dense, self.row, self.column, self.shape = dense, row.astype(np.int32), column.astype(np.int32), (len(dense), dense.shape[1] + columns)
+
+    def times(self, w: np.ndarray) -> np.ndarray:
+        d = self.dense.shape[1]
+        return self.dense @ w[:d] + np.bincount(self.row, w[d:][self.column], self.shape[0])
+
+    def back(self, g: np.ndarray) -> np.ndarray:
+        return np.concatenate([self.dense.T @ g, np.bincount(self.column, g[self.row], self.shape[1] - self.dense.shape[1])])
+
+
+def bradley_terry(x: _Sparse, better: np.ndarray, worse: np.ndarray, *, l1: float = 3e-5, l2: float = 1e-4, rounds: int = 250) -> np.ndarray:
     """Weights that minimise the mean of ln(1 + exp(-(x[better] - x[worse]) w)) with elastic-net penalties, by accelerated proximal steps."""
-    w = v = np.zeros(x.shape[1], x.dtype)
+    w = v = np.zeros(x.shape[1])
     rate, momentum = 0.5, 1.0
     loss_at = lambda s: np.logaddexp(0, -(s[better] - s[worse])).mean()
     for _ in range(rounds):
-        s = x @ v
+        s = x.times(v)
         p = -1 / (1 + np.exp(s[better] - s[worse])) / len(better)
-        g = np.bincount(better, p, len(x)) - np.bincount(worse, p, len(x))
-        g = x.T @ g.astype(x.dtype) + l2 * v
+        g = x.back(np.bincount(better, p, x.shape[0]) - np.bincount(worse, p, x.shape[0])) + l2 * v
         here = loss_at(s) + l2 / 2 * v @ v
         while True:
             new = v - rate * g
-            new = (np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)).astype(x.dtype)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
             d = new - v
-            if loss_at(x @ new) + l2 / 2 * new @ new <= here + g @ d + d @ d / (2 * rate) + 1e-12 or rate < 1e-6:
+            if loss_at(x.times(new)) + l2 / 2 * new @ new <= here + g @ d + d @ d / (2 * rate) + 1e-12 or rate < 1e-6:
                 break
             rate /= 2
         step = (1 + np.sqrt(1 + 4 * momentum * momentum)) / 2
-        v = (new + (momentum - 1) / step * (new - w)).astype(x.dtype)
+        v = new + (momentum - 1) / step * (new - w)
         w, momentum = new, step
         rate *= 1.2
     return w
@@ -115,7 +128,7 @@ def fit(texts: list[str], preferred: np.ndarray, pairs: int = PAIRS, least_docs:
     for first, last, shape, row, h in features(pa.array(texts, pa.string())):
         shapes[first:last] = shape
         row, h = _once(row, h)
-        rows.append(row)
+        rows.append(row.astype(np.int32))
         hashes.append(h)
     row, h = np.concatenate(rows), np.concatenate(hashes)
     words, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
@@ -123,9 +136,7 @@ def fit(texts: list[str], preferred: np.ndarray, pairs: int = PAIRS, least_docs:
     column = np.cumsum(common) - 1
     use = common[inverse]
     mean, spread = shapes.mean(axis=0), np.maximum(shapes.std(axis=0), 1e-6)
-    x = np.zeros((len(texts), len(SHAPES) + int(common.sum())), np.float32)
-    x[:, : len(SHAPES)] = np.clip((shapes - mean) / spread, -6, 6)
-    x[row[use], len(SHAPES) + column[inverse[use]]] = 1
+    x = _Sparse(np.clip((shapes - mean) / spread, -6, 6), row[use], column[inverse[use]], int(common.sum()))
     worse = np.repeat(bad, pairs)
     better = good[(uniform(worse, np.arange(len(worse))) * len(good)).astype(int)]
     w = bradley_terry(x, better, worse)
