@@ -32,7 +32,7 @@ def clean_lines(docs: DataFrame, most_lost: float = MOST_LOST) -> DataFrame:
     """
     lines = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), F.trim), lambda x: x != "").alias("lines"),
+        F.filter(F.transform(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n"), lambda x: F.trim(x)), lambda x: x != "").alias("lines"),
     )
     kept = lines.withColumn("kept", F.filter("lines", line_passes))
     size = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
