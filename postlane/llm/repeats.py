@@ -137,8 +137,8 @@ def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray) -> pa.RecordB
     """Neighbouring suffixes of a document as one row each: first place, places, a document that has the first one too."""
     order = np.lexsort((place, doc))
     doc, place, partner = doc[order], place[order], partner[order]
-    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)]) if len(doc) else np.zeros(0, np.int64)
-    last = np.r_[cut[1:], len(doc)] - 1
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)][: len(doc)])
+    last = np.r_[cut[1:], len(doc)][: len(cut)] - 1
     arrays = [pa.array(doc[cut]), pa.array(place[cut].astype(np.int32)), pa.array(place[last].astype(np.int32)), pa.array(np.minimum.reduceat(partner, cut) if len(cut) else partner)]
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "first", "last", "partner"])
 
