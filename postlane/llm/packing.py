@@ -17,7 +17,7 @@ from postlane.llm.words import spans
 
 #: Words in a bin, pieces that are packed together, islands for each such shard, solutions on an island, epochs between
 #: which elites migrate, children in an epoch, the seed.
-CAPACITY, SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN, SEED = 2048, 512, 2, 4, 2, 12, 23
+CAPACITY, SHARD, ISLANDS, POPULATION, EPOCHS, CHILDREN, SEED = 2048, 512, 4, 6, 3, 24, 23
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
