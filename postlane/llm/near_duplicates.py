@@ -17,19 +17,22 @@ from postlane.llm.words import ALNUM, Hasher, lower, spans
 SEGMENTS, TOGETHER, WORDS = 4, 2, 4
 #: Most differing bits: of the 92 that are indexed, and of all 256.
 NEAR_BITS, NEAR_WIDE = 18, 52
+#: The least ratio between the numbers of different words of two near duplicates. The votes of long words outweigh the
+#: others, so a text stripped of its short words would pass for a copy.
+NEAR_SIZE = 0.8
 
 _PAIRS = list(combinations(range(SEGMENTS), TOGETHER))
-_SCHEMA = "doc_id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint"
+_SCHEMA = "doc_id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, n bigint"
 
 
 def signatures(text: pa.Array, hasher: Hasher | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(n x WORDS fingerprints, mask of the texts that have words).
+    """(n x WORDS fingerprints, different words of each text).
 
     Each different word, in lower case and without punctuation, votes on every bit with the square of its length, ten
     letters at most: long words tell texts apart, and short ones occur everywhere.
     """
     hasher = hasher or Hasher()
-    out, has = np.zeros((len(text), WORDS), np.uint64), np.zeros(len(text), bool)
+    out, size_of = np.zeros((len(text), WORDS), np.uint64), np.zeros(len(text), np.int64)
     for first, _, raw, offsets in blocks(text):
         low = lower(raw)
         starts, ends, of = spans(low, offsets, ALNUM)
@@ -49,8 +52,8 @@ def signatures(text: pa.Array, hasher: Hasher | None = None) -> tuple[np.ndarray
                 votes[row] += (2 * (weight[a:b] @ bits[a - part : b - part].astype(np.float32))) - weight[a:b].sum()
         rows = of[cut]
         out[first + rows] = np.packbits(votes > 0, axis=1, bitorder="little").view(np.uint64)
-        has[first + rows] = True
-    return out, has
+        size_of[first + rows] = np.diff(np.r_[cut, len(of)])
+    return out, size_of
 
 
 def segments(words: np.ndarray) -> np.ndarray:
@@ -77,13 +80,14 @@ def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = Hasher()
     for b in batches:
-        sig, has = signatures(b.column(1), hasher)
+        sig, n = signatures(b.column(1), hasher)
+        has = n > 0
         ids = b.column(0).filter(pa.array(has))
-        yield pa.RecordBatch.from_arrays([ids, *(pa.array(sig[has, k].view(np.int64)) for k in range(WORDS))], ["doc_id", "w0", "w1", "w2", "w3"])
+        yield pa.RecordBatch.from_arrays([ids, *(pa.array(sig[has, k].view(np.int64)) for k in range(WORDS)), pa.array(n[has])], ["doc_id", "w0", "w1", "w2", "w3", "n"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and four words of 64 bits for each document that has a word and a doc_id."""
+    """doc_id, four words of 64 bits and the number of different words of each document that has a word and a doc_id."""
     return texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_fingerprint, _SCHEMA)
 
 
@@ -101,8 +105,8 @@ def _bits(k: int, a: str, b: str) -> str:
     return f"bit_count({a}.w{k} ^ {b}.w{k})"
 
 
-def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE) -> DataFrame:
-    """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, given one row for each.
+def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
+    """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, of texts with like numbers of words, given one row for each.
 
     Candidates have two segments that share a Golay index. Fewer than nine differing bits among the 92 indexed leave
     at least two segments with two or fewer, so no such pair is missed; further apart, a pair is found when two of
@@ -111,7 +115,7 @@ def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = N
     inside the join before it is anything else; what passes is looked up by its 92 bits and compared whole.
     """
     piece = (1 << (2 * golay.BITS)) - 1
-    nodes = prints.select("doc_id", *(f"w{k}" for k in range(WORDS)), F.expr(f"(w0 & {piece}L) >> 9").alias("hi"), F.expr(f"((w0 & 511L) << 46) | (w1 & {piece}L)").alias("lo"))
+    nodes = prints.select("doc_id", "n", *(f"w{k}" for k in range(WORDS)), F.expr(f"(w0 & {piece}L) >> 9").alias("hi"), F.expr(f"((w0 & 511L) << 46) | (w1 & {piece}L)").alias("lo"))
     keyed = nodes.select("hi", "lo").distinct().mapInArrow(_keyed, "k bigint, f bigint")
     low = (1 << 37) - 1
     order = f"(l.k & {low}L < r.k & {low}L OR l.k & {low}L = r.k & {low}L AND l.f < r.f)"
@@ -120,10 +124,10 @@ def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = N
     near = near.select(F.expr(f"l.k & {low}L").alias("ahi"), F.col("l.f").alias("alo"), F.expr(f"r.k & {low}L").alias("bhi"), F.col("r.f").alias("blo")).distinct()
     x, y = nodes.alias("x"), nodes.alias("y")
     bits = " + ".join(_bits(k, "x", "y") for k in range(WORDS))
-    out = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(bits).alias("bits")]
+    out = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(bits).alias("bits"), (F.least("x.n", "y.n") >= near_size * F.greatest("x.n", "y.n")).alias("alike")]
     found = near.join(x, F.expr("ahi = x.hi AND alo = x.lo")).join(y, F.expr("bhi = y.hi AND blo = y.lo")).select(*out)
     same = x.join(y, F.expr("x.hi = y.hi AND x.lo = y.lo AND x.doc_id < y.doc_id")).select(*out)
-    return found.union(same).where(F.col("bits") <= near_wide)
+    return found.union(same).where((F.col("bits") <= near_wide) & F.col("alike")).drop("alike")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -149,26 +153,26 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE) -> DataFrame:
+def near_duplicates(docs: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
     """(doc_id, duplicate_of, bits): each document but the first of its group, the group's least doc_id, the bits between them.
 
-    Groups are the connected components of pairs of fingerprints that differ in at most near_wide of 256 bits.
-    Equal fingerprints are one node, so thousands of exact copies cost one search. A row that repeats a doc_id counts
-    once; rows without a doc_id, and texts that are null or have no word, are in no group. Texts are used whole. No
-    documents, no rows.
+    Groups are the connected components of pairs of fingerprints that differ in at most near_wide of 256 bits, of
+    texts whose numbers of different words are near_size of each other or nearer. Texts equal in both are one node, so
+    thousands of exact copies cost one search. A row that repeats a doc_id counts once; rows without a doc_id, and
+    texts that are null or have no word, are in no group. Texts are used whole. No documents, no rows.
     """
     every = settle(fingerprints(docs), "prints")
-    words = [f"w{k}" for k in range(WORDS)]
+    words = ["n", *(f"w{k}" for k in range(WORDS))]
     node = settle(every.groupBy(*words).agg(F.min("doc_id").alias("doc_id")), "nodes")
-    root = settle(components(near_pairs(node, near_bits, near_wide)), "roots")
+    root = settle(components(near_pairs(node, near_bits, near_wide, near_size)), "roots")
     to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), *(f"n.{w}" for w in words))
     member = every.alias("e").join(to.alias("t"), F.expr(" AND ".join(f"e.{w} = t.{w}" for w in words))).where("e.doc_id <> t.root")
     bits = " + ".join(_bits(k, "m", "h") for k in range(WORDS))
     head = node.alias("h")
-    return member.select("e.doc_id", "t.root", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left").groupBy("m.doc_id").agg(F.min_by("m.root", "m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"))
+    return member.select("e.doc_id", "t.root", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left").groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"))
 
 
-def keep_first(docs: DataFrame, **parameters: int) -> DataFrame:
+def keep_first(docs: DataFrame, **parameters: float) -> DataFrame:
     """The documents without those that near_duplicates() finds, one row for each doc_id, with docs' columns.
 
     A document without words has no copies and stays. Of rows that repeat a doc_id the one with the least text stays;

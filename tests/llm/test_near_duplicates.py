@@ -42,7 +42,7 @@ def test_pairs_against_all_pairs(spark):
             p = r.choice((0.01, 0.03, 0.06, 0.09, 0.14))
             prints[k * 10 + j] = [w ^ sum(1 << b for b in range(64) if r.random() < p) for w in base]
     signed = lambda w: w - (1 << 64) if w >> 63 else w
-    df = table(spark, [(k, *map(signed, v)) for k, v in prints.items()], nd._SCHEMA)
+    df = table(spark, [(k, *map(signed, v), 9) for k, v in prints.items()], nd._SCHEMA)
     got = {(x["a"], x["b"]): x["bits"] for x in nd.near_pairs(df).collect()}
     indexed = lambda k: [w & ((1 << 46) - 1) for w in prints[k][:2]]
     want, sure = {}, set()
@@ -58,8 +58,8 @@ def test_pairs_against_all_pairs(spark):
 
 
 def test_equal_in_the_indexed_bits_alone(spark):
-    rows = [(1, 5, 9, 1, 1), (2, 5, 9, 1, 3), (3, 5, 9, -1, -1)]
-    assert [(x["a"], x["b"], x["bits"]) for x in nd.near_pairs(table(spark, rows, nd._SCHEMA)).collect()] == [(1, 2, 1)]
+    rows = [(1, 5, 9, 1, 1, 10), (2, 5, 9, 1, 3, 8), (3, 5, 9, -1, -1, 10), (4, 5, 9, 1, 1, 7)]
+    assert [(x["a"], x["b"], x["bits"]) for x in nd.near_pairs(table(spark, rows, nd._SCHEMA)).orderBy("a").collect()] == [(1, 2, 1), (2, 4, 1)]
 
 
 def test_components_against_union_find(spark):
@@ -112,11 +112,11 @@ def test_bits_against_a_sum_over_words():
         h = Hasher()(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))
         bits = np.concatenate([np.unpackbits(mix(h + np.uint64(k + 1)).view(np.uint8), bitorder="little") for k in range(4)])
         sums += (2.0 * bits - 1) * min(len(w), 10) ** 2
-    (sig,), (has,) = nd.signatures(pa.array([text]))
-    assert has and (np.unpackbits(sig.view(np.uint8), bitorder="little") == (sums > 0)).all()
+    (sig,), (n,) = nd.signatures(pa.array([text]))
+    assert n == 5 and (np.unpackbits(sig.view(np.uint8), bitorder="little") == (sums > 0)).all()
     block = pa.array(["", text, None, "x " * 1000, text.lower()])
-    sig2, has2 = nd.signatures(block)
-    assert (sig2[1] == sig).all() and (sig2[4] == sig).all() and has2.tolist() == [False, True, False, True, True]
+    sig2, n2 = nd.signatures(block)
+    assert (sig2[1] == sig).all() and (sig2[4] == sig).all() and n2.tolist() == [0, 5, 0, 1, 5]
 
 
 def test_odd_tables(ugly, nothing):
