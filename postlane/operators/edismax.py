@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from postlane.functions.query_syntax import field_boosts, minimum_should_match
 from postlane.functions.similarity import Similarity, default_bm25
@@ -35,21 +35,20 @@ def _term_scores(index: SearchIndex, field: str, terms: list[str], boost: float,
     return rows.select("doc_id", F.lit(field).alias("field"), F.explode(ords[F.col("term")]).alias("ord"), score.alias("score"))
 
 
-def _phrase_scores(index: SearchIndex, grams: list[list[str]], boost: float, similarity: Similarity, matched: DataFrame) -> DataFrame:
-    """(doc_id, score): the sum over the phrases, counted among the matched documents alone."""
-    distinct = list(dict.fromkeys(t for g in grams for t in g))
+def _phrase_scores(index: SearchIndex, grams: list[tuple[list[str], float]], similarity: Similarity, matched: DataFrame) -> DataFrame:
+    """(doc_id, score): the boosted sum over the phrases of a field, in one scan, counted among the matched documents alone."""
+    distinct = list(dict.fromkeys(t for g, _ in grams for t in g))
     at = {t: k for k, t in enumerate(distinct)}
     rows = index.postings.where(F.col("term").isin(distinct)).join(matched, "doc_id", "left_semi")
     wide = rows.groupBy("doc_id").agg(*(F.max(F.when(F.col("term") == t, F.col("posns"))).alias(f"p{k}") for t, k in at.items()))
-    dfs = wide.agg(*(F.count(f"p{k}").alias(f"df{k}") for k in at.values()))
+    dfs = rows.groupBy().agg(*(F.count(F.when(F.col("term") == t, 1)).alias(f"df{k}") for t, k in at.items()))
     rows = wide.join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(dfs))  # a row each
 
-    def one(gram: list[str]):
+    def one(gram: list[str], boost: float) -> Column:
         tf = phrases.exact([F.col(f"p{at[t]}") for t in gram], gram[0] == gram[1])
-        return similarity(tf, [F.col(f"df{at[t]}") for t in gram], F.col("doc_len"), F.col("avg_doc_len"), F.col("n_docs")).cast("double")
+        return similarity(tf, [F.col(f"df{at[t]}") for t in gram], F.col("doc_len"), F.col("avg_doc_len"), F.col("n_docs")).cast("double") * F.lit(float(boost))
 
-    total = reduce(lambda a, b: a + b, [one(g) for g in grams]) * F.lit(float(boost))
-    return rows.select("doc_id", total.alias("score"))
+    return rows.select("doc_id", reduce(lambda a, b: a + b, [one(*g) for g in grams]).alias("score"))
 
 
 def _ngrams(terms: list[str], n: int) -> list[list[str]]:
@@ -116,7 +115,7 @@ def edismax(
         per_doc = per_field.groupBy("doc_id").agg(best).withColumnRenamed("d", "q")
     matched = per_doc.where("q > 0").select("doc_id", "q")
 
-    added = []
+    added: dict[str, list[tuple[list[str], float]]] = {}
     for size, wanted in zip((None, 2, 3), phrase_boosts):
         for f, b in wanted.items():
             n = len(terms[f]) if size is None else size
@@ -126,9 +125,10 @@ def edismax(
             explain += "".join(f' ({f}:"{" ".join(g)}")^{_mark(b)}' for g in grams)
             if size == 2:
                 grams = [*grams, grams[-1]]  # the last pair of a field counts twice
-            added.append(_phrase_scores(fields[f], grams, 1.0 if b is None else b, sims[f], matched.select("doc_id")))
+            added.setdefault(f, []).extend((g, 1.0 if b is None else b) for g in grams)
     out = matched
     if added:
-        extra = reduce(DataFrame.unionByName, added).groupBy("doc_id").agg(F.sum("score").alias("p"))
+        scores = [_phrase_scores(fields[f], grams, sims[f], matched.select("doc_id")) for f, grams in added.items()]
+        extra = reduce(DataFrame.unionByName, scores).groupBy("doc_id").agg(F.sum("score").alias("p"))
         out = out.join(extra, "doc_id", "left").select("doc_id", (F.col("q") + F.coalesce("p", F.lit(0.0))).alias("q"))
     return every.join(out, "doc_id", "left").select("doc_id", F.coalesce("q", F.lit(0.0)).alias("score")), explain

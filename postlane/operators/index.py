@@ -32,6 +32,7 @@ class SearchIndex:
     docs: DataFrame
     stats: DataFrame
     tokenizer: Tokenizer
+    found: DataFrame | None = None  # (doc_id, pos, term) that postings were made of, so that saving them takes one shuffle
 
     # building
 
@@ -44,14 +45,14 @@ class SearchIndex:
         if kind not in ("string", "void"):
             raise TypeError(f"{text} is {kind}, not string")
         cut = resolve(tokenizer)
-        tokens = token_table(df, text, doc_id, cut, truncate, max_places)
-        return cls.of_tokens(tokens, cut)
+        return cls.of_tokens(token_table(spread(df.select(doc_id, text)), text, doc_id, cut, truncate, max_places), cut, max_places)
 
     @classmethod
-    def of_tokens(cls, tokens: DataFrame, tokenizer: Tokenizer) -> SearchIndex:
+    def of_tokens(cls, tokens: DataFrame, tokenizer: Tokenizer, max_places: int = MAX_PLACES) -> SearchIndex:
         """From (doc_id, tokens)."""
         docs = tokens.select("doc_id", F.size("tokens").alias("doc_len"))
-        return cls(postings_of(triples(tokens)), docs, stats_of(docs), tokenizer)
+        found = triples(tokens, max_places)
+        return cls(postings_of(found), docs, stats_of(docs), tokenizer, found)
 
     @classmethod
     def from_counts(cls, df: DataFrame, counts: str = "counts", doc_id: str = "doc_id") -> SearchIndex:
@@ -67,7 +68,11 @@ class SearchIndex:
         """Write the index: postings sorted by term over ranges of (term, doc_id), so that reading a term skips the rest."""
         spark = self.postings.sparkSession
         n = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.postings.repartitionByRange(n, "term", "doc_id").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
+        if self.found is not None:
+            postings = postings_of(self.found.repartitionByRange(n, "term", "doc_id"))  # the ranges serve the grouping
+        else:
+            postings = self.postings.repartitionByRange(n, "term", "doc_id")
+        postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
         self.docs.write.mode("overwrite").parquet(f"{path}/docs")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
         spark.createDataFrame([(json.dumps({"tokenizer": self.tokenizer.name}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
@@ -89,13 +94,13 @@ class SearchIndex:
     def upsert(self, other: SearchIndex) -> SearchIndex:
         """The documents of other in place of those with the same id, or beside them."""
         new = other.docs.select("doc_id")
-        old = replace(self, postings=self.postings.join(new, "doc_id", "left_anti").select(*self.postings.columns), docs=self.docs.join(new, "doc_id", "left_anti"))
+        old = replace(self, found=None, postings=self.postings.join(new, "doc_id", "left_anti").select(*self.postings.columns), docs=self.docs.join(new, "doc_id", "left_anti"))
         return old.union(other)
 
     def filter(self, keep: Column | DataFrame) -> SearchIndex:
         """Documents that a condition on doc_id and doc_len, or a table of doc_id, picks; n_docs and avg_doc_len stay those of all."""
         docs = self.docs.where(keep) if isinstance(keep, Column) else self.docs.join(keep.select("doc_id").distinct(), "doc_id", "left_semi")
-        return replace(self, postings=self.postings.join(docs.select("doc_id"), "doc_id", "left_semi").select(*self.postings.columns), docs=docs)
+        return replace(self, found=None, postings=self.postings.join(docs.select("doc_id"), "doc_id", "left_semi").select(*self.postings.columns), docs=docs)
 
     # statistics
 
@@ -205,18 +210,25 @@ def check_places(min_posn: int | None, max_posn: int | None) -> None:
         raise ValueError(f"max_posn must be one less than a multiple of {STEP}")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as there are cores, where a small file would leave most of them idle; else df."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df.rdd.getNumPartitions() < cores else df
+
+
 def token_table(df: DataFrame, text: str, doc_id: str, tokenizer: Tokenizer, truncate: bool = False, max_places: int = MAX_PLACES) -> DataFrame:
     """(doc_id, tokens)."""
     rows = df.select(F.col(doc_id).alias("doc_id"), tokenizer.column(F.col(text)).alias("tokens"))
     if truncate:
         return rows.withColumn("tokens", F.slice("tokens", 1, max_places))
-    too_long = F.raise_error(F.concat(F.lit("a document has more words than "), F.lit(str(max_places)))).cast("array<string>")
-    return rows.withColumn("tokens", F.when(F.size("tokens") > max_places, too_long).otherwise(F.col("tokens")))
+    return rows
 
 
-def triples(tokens: DataFrame) -> DataFrame:
-    """(doc_id, pos, term)."""
-    return tokens.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
+def triples(tokens: DataFrame, max_places: int = MAX_PLACES) -> DataFrame:
+    """(doc_id, pos, term). The outer form keeps the optimizer from asking for the words' number first, which would cut every text twice."""
+    rows = tokens.select("doc_id", F.posexplode_outer("tokens").alias("pos", "term")).where("pos IS NOT NULL")
+    too_long = F.raise_error(F.lit(f"a document has more words than {max_places}")).cast("string")
+    return rows.withColumn("term", F.when(F.col("pos") >= max_places, too_long).otherwise(F.col("term")))
 
 
 def postings_of(found: DataFrame) -> DataFrame:
