@@ -14,9 +14,11 @@ from postlane.llm.common import blocks, drop_table, mix, settle, texts_of
 from postlane.llm.words import ALNUM, Hasher, lower, spans
 
 #: Segments of 23 bits that are indexed, how many of them a key joins, and the words of 64 bits of the whole fingerprint.
-SEGMENTS, TOGETHER, WORDS = 4, 2, 4
-#: Most differing bits: of the 92 that are indexed, and of all 256.
-NEAR_BITS, NEAR_WIDE = 18, 52
+SEGMENTS, TOGETHER, WORDS = 11, 2, 4
+#: Most differing bits of all 256; and of the first four segments' 92, for near_pairs() alone.
+NEAR_WIDE, NEAR_BITS = 52, 18
+#: Fingerprints of a group; a task searches two groups. The least number of groups.
+GROUP, LEAST_GROUPS = 1 << 17, 3
 #: The least ratio between the numbers of different words of two near duplicates. The votes of long words outweigh the
 #: others, so a text stripped of its short words would pass for a copy.
 NEAR_SIZE = 0.8
@@ -57,24 +59,47 @@ def signatures(text: pa.Array, hasher: Hasher | None = None) -> tuple[np.ndarray
 
 
 def segments(words: np.ndarray) -> np.ndarray:
-    """The first SEGMENTS pieces of 23 bits: two from each 64-bit word."""
-    low = (1 << golay.BITS) - 1
+    """SEGMENTS pieces of 23 bits, 253 of the 256: two from the low end of each word, three from the 18 bits left of each."""
+    low = np.uint64((1 << golay.BITS) - 1)
     w = words.astype(np.uint64)
-    return np.stack([((w[:, s // 2] >> np.uint64(golay.BITS * (s % 2))) & np.uint64(low)).astype(np.int64) for s in range(SEGMENTS)], axis=1)
+    out = [(w[:, k] >> np.uint64(golay.BITS * s)) & low for k in range(WORDS) for s in range(2)]
+    a, b, c, d = (w[:, k] >> np.uint64(2 * golay.BITS) for k in range(WORDS))
+    out += [(a | (b << np.uint64(18))) & low, ((b >> np.uint64(5)) | (c << np.uint64(13))) & low, ((c >> np.uint64(10)) | (d << np.uint64(8))) & low]
+    return np.stack(out, axis=1).astype(np.int64)
 
 
-def keys_of(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, how many each row has): for each pair of segments, every pair of their indices."""
-    seg = segments(words)
-    found = [golay.indices(seg[:, s]) for s in range(SEGMENTS)]
-    keys, masks = [], []
-    for p, (a, b) in enumerate(_PAIRS):
+def _apart(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(w[k, x] ^ w[k, y]).astype(np.int64) for k in range(len(w)))
+
+
+def close_pairs(words: np.ndarray, near_wide: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x < y: rows of fingerprints that share the indices of two segments, differ in at most near_wide bits and are wanted(x, y).
+
+    Keys of one pair of segments are sorted at a time; rows with equal keys are compared at growing offsets, so memory
+    doesn't grow with the rows that share a key.
+    """
+    found = [golay.indices(x) for part in range(0, max(1, len(words)), 1 << 14) for x in segments(words[part : part + (1 << 14)]).T]
+    found = [tuple(np.concatenate(x) for x in zip(*found[s::SEGMENTS])) for s in range(SEGMENTS)]
+    found = [(i.astype(np.int64), m) for i, m in found]
+    w, row = np.ascontiguousarray(words.astype(np.uint64).T), np.arange(len(words), dtype=np.int64)[:, None, None]
+    pairs = np.zeros(0, np.int64)
+    for a, b in _PAIRS:
         (ia, ma), (ib, mb) = found[a], found[b]
-        key = (p << 24) | (ia[:, :, None] << 12) | ib[:, None, :]
-        keys.append(key.reshape(len(seg), -1))
-        masks.append((ma[:, :, None] & mb[:, None, :]).reshape(len(seg), -1))
-    key, mask = np.concatenate(keys, 1), np.concatenate(masks, 1)
-    return key[mask], mask.sum(1)
+        packed = ((ia[:, :, None] << 44) | (ib[:, None, :] << 32) | row)[ma[:, :, None] & mb[:, None, :]]
+        packed.sort()
+        key, of = (packed >> 32).astype(np.int32), (packed & 0xFFFFFFFF).astype(np.int32)
+        at, far, new = np.arange(len(key)), 1, [pairs]
+        while len(at := at[at + far < len(key)]) and len(at := at[key[at + far] == key[at]]):
+            x, y = of[at], of[at + far]  # x < y: rows are in order within a key
+            ok = wanted(x, y)
+            x, y = x[ok], y[ok]
+            ok = _apart(w[:2], x, y) <= near_wide
+            x, y = x[ok], y[ok]
+            ok = _apart(w, x, y) <= near_wide
+            new.append(np.unique(x[ok].astype(np.int64) << 32 | y[ok]))
+            far += 1
+        pairs = np.unique(np.concatenate(new))
+    return pairs >> 32, pairs & 0xFFFFFFFF
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,43 +116,43 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_fingerprint, _SCHEMA)
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 2000):
-            hi, lo = (b.column(k).slice(at, 2000).to_numpy(zero_copy_only=False) for k in range(2))
-            whole = (hi.astype(np.uint64) << np.uint64(9)) | (lo.astype(np.uint64) >> np.uint64(46))
-            key, n = keys_of(np.stack([whole, lo.astype(np.uint64)], axis=1))
-            row = np.repeat(np.arange(len(n)), n)
-            yield pa.RecordBatch.from_arrays([pa.array((key << 37) | hi[row]), pa.array(lo[row])], ["k", "f"])
-
-
 def _bits(k: int, a: str, b: str) -> str:
     return f"bit_count({a}.w{k} ^ {b}.w{k})"
 
 
-def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
+def _search(near_wide: int, near_size: float):
+    def run(table: pa.Table) -> pa.Table:
+        doc, n, g, i, j = (table.column(c).to_numpy() for c in ("doc_id", "n", "g", "i", "j"))
+        words = np.stack([table.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+        within = len(doc) > 0 and i[0] == j[0]
+        x, y = close_pairs(words, near_wide, lambda x, y: (within | (g[x] != g[y])) & (np.minimum(n[x], n[y]) >= near_size * np.maximum(n[x], n[y])))
+        bits = _apart(np.ascontiguousarray(words.T), x, y).astype(np.int32)
+        return pa.table([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(bits)], ["a", "b", "bits"])
+
+    return run
+
+
+def wide_pairs(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
     """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, of texts with like numbers of words, given one row for each.
 
-    Candidates have two segments that share a Golay index. Fewer than nine differing bits among the 92 indexed leave
-    at least two segments with two or fewer, so no such pair is missed; further apart, a pair is found when two of
-    its segments share an index by chance, which measures at 0.99 for copies with a few words in a hundred changed.
-    A key and the 92 bits are two words of 64 bits, 16 bytes a key in the shuffle, and a candidate pair is compared
-    inside the join before it is anything else; what passes is looked up by its 92 bits and compared whole.
+    Compared are those that share the Golay indices of two of SEGMENTS segments, 253 bits of the 256: certain up to 29
+    differing bits, as ten segments with three or more make 30, and a matter of chance beyond; README has the recall
+    by distance. Fingerprints are dealt to groups by hash of doc_id, and a task takes two groups or one: keys are made
+    and sorted inside it, and a fingerprint goes through the shuffle once for each group, not once for each key.
     """
+    groups = max(LEAST_GROUPS, -(-prints.count() // GROUP))
+    tasks = groups * (groups + 1) // 2
+    to = prints.withColumn("g", F.expr(f"cast(pmod(xxhash64(doc_id), {groups}) AS int)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    to = to.select("doc_id", *(f"w{k}" for k in range(WORDS)), "n", "g", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"))
+    return to.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_search(near_wide, near_size), "a bigint, b bigint, bits int")
+
+
+def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
+    """Those of wide_pairs() that also differ in at most near_bits of the first four segments' 92 bits; fewer than nine there are certain to be found."""
     piece = (1 << (2 * golay.BITS)) - 1
-    nodes = prints.select("doc_id", "n", *(f"w{k}" for k in range(WORDS)), F.expr(f"(w0 & {piece}L) >> 9").alias("hi"), F.expr(f"((w0 & 511L) << 46) | (w1 & {piece}L)").alias("lo"))
-    keyed = nodes.select("hi", "lo").distinct().mapInArrow(_keyed, "k bigint, f bigint")
-    low = (1 << 37) - 1
-    order = f"(l.k & {low}L < r.k & {low}L OR l.k & {low}L = r.k & {low}L AND l.f < r.f)"
-    close = f"bit_count((l.k ^ r.k) & {low}L) + bit_count(l.f ^ r.f) <= {near_bits}"
-    near = keyed.alias("l").hint("merge").join(keyed.alias("r"), F.expr(f"l.k >> 37 = r.k >> 37 AND {order} AND {close}"))
-    near = near.select(F.expr(f"l.k & {low}L").alias("ahi"), F.col("l.f").alias("alo"), F.expr(f"r.k & {low}L").alias("bhi"), F.col("r.f").alias("blo")).distinct()
-    x, y = nodes.alias("x"), nodes.alias("y")
-    bits = " + ".join(_bits(k, "x", "y") for k in range(WORDS))
-    out = [F.least("x.doc_id", "y.doc_id").alias("a"), F.greatest("x.doc_id", "y.doc_id").alias("b"), F.expr(bits).alias("bits"), (F.least("x.n", "y.n") >= near_size * F.greatest("x.n", "y.n")).alias("alike")]
-    found = near.join(x, F.expr("ahi = x.hi AND alo = x.lo")).join(y, F.expr("bhi = y.hi AND blo = y.lo")).select(*out)
-    same = x.join(y, F.expr("x.hi = y.hi AND x.lo = y.lo AND x.doc_id < y.doc_id")).select(*out)
-    return found.union(same).where((F.col("bits") <= near_wide) & F.col("alike")).drop("alike")
+    side = lambda c: prints.select(F.col("doc_id").alias(c), *(F.expr(f"w{k} & {piece}L").alias(f"{c}{k}") for k in range(2)))
+    found = wide_pairs(prints, near_wide, near_size).join(side("a"), "a").join(side("b"), "b")
+    return found.where(f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {near_bits}").select("a", "b", "bits")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -153,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root"))
 
 
-def near_duplicates(docs: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
+def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
     """(doc_id, duplicate_of, bits): each document but the first of its group, the group's least doc_id, the bits between them.
 
     Groups are the connected components of pairs of fingerprints that differ in at most near_wide of 256 bits, of
@@ -164,7 +189,7 @@ def near_duplicates(docs: DataFrame, near_bits: int = NEAR_BITS, near_wide: int
     every = settle(fingerprints(docs), "prints")
     words = ["n", *(f"w{k}" for k in range(WORDS))]
     node = settle(every.groupBy(*words).agg(F.min("doc_id").alias("doc_id")), "nodes")
-    root = settle(components(near_pairs(node, near_bits, near_wide, near_size)), "roots")
+    root = settle(components(wide_pairs(node, near_wide, near_size)), "roots")
     to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), *(f"n.{w}" for w in words))
     member = every.alias("e").join(to.alias("t"), F.expr(" AND ".join(f"e.{w} = t.{w}" for w in words))).where("e.doc_id <> t.root")
     bits = " + ".join(_bits(k, "m", "h") for k in range(WORDS))

@@ -127,3 +127,24 @@ def test_odd_tables(ugly, nothing):
     ids = [str(x["doc_id"]) for x in kept.collect()]
     assert sorted(ids) == sorted(["1", "3", "4", "5", "6", "7", "8", "None", "None"])
     assert nd.near_duplicates(nothing).collect() == [] and nd.keep_first(nothing).collect() == []
+
+
+def test_recall_against_all_pairs_by_distance(spark):
+    r = np.random.default_rng(5)
+    base = r.integers(0, 1 << 63, (400, 4), dtype=np.uint64)
+    rows, want = [], {}
+    for k, words in enumerate(base):
+        flips = np.zeros(256, np.uint8)
+        flips[r.choice(256, r.integers(1, nd.NEAR_WIDE + 9), replace=False)] = 1
+        other = words ^ np.packbits(flips, bitorder="little").view(np.uint64)
+        rows += [(2 * k, *words.view(np.int64).tolist(), 9), (2 * k + 1, *other.view(np.int64).tolist(), 9)]
+    every = [[int(w) & (1 << 64) - 1 for w in row[1:5]] for row in rows]
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if (d := hamming(every[a], every[b])) <= nd.NEAR_WIDE:
+            want[a, b] = d
+    got = {(x["a"], x["b"]): x["bits"] for x in nd.wide_pairs(table(spark, rows, nd._SCHEMA)).collect()}
+    assert set(got) <= set(want) and all(got[p] == want[p] for p in got)
+    assert all(p in got for p in want if want[p] < 30)  # by the pigeonhole principle
+    for low, high in ((1, 29), (30, 39), (40, 46), (47, nd.NEAR_WIDE)):
+        band = [p for p in want if low <= want[p] <= high]
+        assert len(band) >= 20 and sum(p in got for p in band) >= 0.9 * len(band), (low, high)
