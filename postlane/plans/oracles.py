@@ -201,3 +201,6 @@ SELECT w.ord::BIGINT AS ord, w.doc_id::BIGINT AS doc_id, coalesce(array_to_strin
     "keys_merge_counts": f"{_BASE} SELECT doc_id, count(*) AS n FROM ps WHERE term IN {_list([OTHER, TERM])} GROUP BY doc_id",
     "keys_bits": "SELECT doc_id, bit_count(doc_id)::BIGINT AS bits FROM documents",
 }
+
+#: The same SQL over whole texts in place of titles.
+ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(" FROM tt)", " FROM tk)", 1) for name in ("take_rows", "value_counts", "factorize")}

@@ -252,13 +252,18 @@ def slice_then_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index(spark, sf_dir).filter(chosen).score(TERM))
 
 
-@query
-def take_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _take(spark: SparkSession, index: SearchIndex) -> DataFrame:
     wanted = spark.createDataFrame(list(enumerate([5, 3, 3, -1, 8])), "ord bigint, doc_id bigint")
-    rows = docs_ops.take(index(spark, sf_dir, "title"), wanted)
+    rows = docs_ops.take(index, wanted)
     return rows.select("ord", "doc_id", F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"))
 
 
+@query
+def take_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of titles; take_rows_whole has whole texts."""
+    return _take(spark, index(spark, sf_dir, "title"))
+
+
 @query
 def row_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether each document is no more than its title."""
@@ -272,20 +277,44 @@ def isna_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_ops.is_missing(SearchIndex.build(blank))
 
 
+def _counted(index: SearchIndex) -> DataFrame:
+    rows = docs_ops.value_counts(index)
+    return rows.select(F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"), "n")
+
+
 @query
 def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = docs_ops.value_counts(index(spark, sf_dir, "title"))
-    return rows.select(F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"), "n")
+    """Of titles; value_counts_whole has whole texts."""
+    return _counted(index(spark, sf_dir, "title"))
 
 
 @query
 def factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of titles; factorize_whole has whole texts."""
     return docs_ops.factorize(index(spark, sf_dir, "title"))
 
 
 @query
 def sort_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_ops.sort_documents(index(spark, sf_dir, "title"))
+    return docs_ops.sort_documents(index(spark, sf_dir))
+
+
+# the same on whole texts
+
+
+@query
+def take_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _take(spark, index(spark, sf_dir))
+
+
+@query
+def value_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _counted(index(spark, sf_dir))
+
+
+@query
+def factorize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_ops.factorize(index(spark, sf_dir))
 
 
 @query
