@@ -51,8 +51,12 @@ class SuffixFamily:
         second[at] = best
         return key[keep], doc[keep], place[keep], second[keep]
 
-    def add(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def add(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, place, other document) of the suffixes of this batch, and of earlier ones first matched by it, that another document has too."""
+        return self.find(key, doc, place)[:3]
+
+    def find(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """What add() gives, and the suffixes' fingerprints: whichever batches they come in, all documents that share a suffix are given with it."""
         order = np.lexsort((place, doc, key))
         key, doc, place = key[order], doc[order], place[order]
         partner = np.full(len(key), _NONE)
@@ -69,7 +73,7 @@ class SuffixFamily:
             size = np.searchsorted(lk, lk[once], "right") - once
             rows = np.repeat(once, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             second[rows] = np.repeat(by, size)
-            late.append((ld[rows], lp[rows], second[rows]))
+            late.append((ld[rows], lp[rows], second[rows], lk[rows]))
         start = _starts(key)
         size = np.diff(np.r_[start, len(key)])
         if len(start):
@@ -83,7 +87,7 @@ class SuffixFamily:
             order = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
             self.levels.append(self._level(*(x[order] for x in both)))
         found = np.flatnonzero(partner != _NONE)
-        out = [(doc[found], place[found], partner[found]), *late]
+        out = [(doc[found], place[found], partner[found], key[found]), *late]
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
@@ -133,14 +137,15 @@ def _records(min_words: int, anchor: int):
     return run
 
 
-def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray) -> pa.RecordBatch:
-    """Neighbouring suffixes of a document as one row each: first place, places, a document that has the first one too."""
+def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+    """Neighbouring suffixes of a document as one row each: first and last place, the least of the documents met, the suffixes' fingerprints."""
     order = np.lexsort((place, doc))
-    doc, place, partner = doc[order], place[order], partner[order]
+    doc, place, partner, key = doc[order], place[order], partner[order], key[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)][: len(doc)])
     last = np.r_[cut[1:], len(doc)][: len(cut)] - 1
-    arrays = [pa.array(doc[cut]), pa.array(place[cut].astype(np.int32)), pa.array(place[last].astype(np.int32)), pa.array(np.minimum.reduceat(partner, cut) if len(cut) else partner)]
-    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "first", "last", "partner"])
+    groups = pa.ListArray.from_arrays(pa.array(np.r_[cut, len(doc)].astype(np.int32)), pa.array(key.view(np.int64)))
+    arrays = [pa.array(doc[cut]), pa.array(place[cut].astype(np.int32)), pa.array(place[last].astype(np.int32)), pa.array(np.minimum.reduceat(partner, cut) if len(cut) else partner), groups]
+    return pa.RecordBatch.from_arrays(arrays, ["doc_id", "first", "last", "partner", "groups"])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +155,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         key, doc, place = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        return _runs(*family.add(key, doc, place))
+        return _runs(*family.find(key, doc, place))
 
     count = 0
     for b in batches:
@@ -172,10 +177,12 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """(doc_id, start_word, n_words, partner): the stretches of each document whose every word lies in min_words words that another document has too.
+def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """(doc_id, start_word, n_words, partner, groups): the stretches of each document whose every word lies in min_words words that another document has too.
 
-    partner is a document that has a run of the stretch, the least where the family meets it first. Words lie between white space and are compared in
+    partner is one document that has a run of the stretch, the least where the family meets it first. groups has the
+    fingerprint of every min_words words in the stretch that another document has, in order and each once: the
+    documents that share words with a stretch are exactly those with a stretch that has one of its groups. Words lie between white space and are compared in
     lower case. Repeats inside one document alone don't count. Rows that repeat a doc_id are one document. Rows without
     a doc_id and texts that are null, empty or shorter than min_words have no passages. Texts are used whole; no
     documents, no rows. Every suffix is a query and every suffix is indexed: nothing is sampled, and two stretches
@@ -189,14 +196,19 @@ def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int =
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_records(min_words, anchor), _RECORD)
-    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan, "doc_id bigint, first int, last int, partner bigint")
+    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan, "doc_id bigint, first int, last int, partner bigint, groups array<bigint>")
     w = Window.partitionBy("doc_id").orderBy("first", "last")
     before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("first") > before + min_words, 1).when(before.isNull(), 1).otherwise(0)
     marked = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     size = (F.max("last") - F.min("first") + min_words).cast("int")
-    return marked.groupBy("doc_id", "stretch").agg(F.min("first").alias("start_word"), size.alias("n_words"), F.min("partner").alias("partner")).drop("stretch")
+    return marked.groupBy("doc_id", "stretch").agg(F.min("first").alias("start_word"), size.alias("n_words"), F.min("partner").alias("partner"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("groups")))).alias("groups")).drop("stretch")
+
+
+def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
+    """shared_passages() without the groups: every stretch, with one partner of those it may have."""
+    return shared_passages(docs, min_words, anchor).drop("groups")
 
 
 def op2_suffix_family(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return shared_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -68,3 +68,33 @@ def test_odd_tables(ugly, nothing):
     rows = {r["doc_id"]: tuple(r)[1:] for r in repeats.repeated_passages(ugly).collect()}
     assert rows == {1: (0, 80, 2), 2: (0, 80, 1)}  # rows without an id don't count, and 1 isn't its own partner
     assert repeats.repeated_passages(nothing).collect() == []
+
+
+def test_every_pair_follows_from_the_groups(spark):
+    r = random.Random(6)
+    p = [prose(r, n) for n in (12, 9, 15)]
+    texts = {d: " ".join([prose(r, 5), *r.sample(p, r.choice((1, 2, 3))), prose(r, 5)]) for d in range(25)}
+    both = prose(r, 30).split()
+    texts |= {30: " ".join(both), 31: " ".join(both[:20]), 32: " ".join(both[10:])}
+    seen = {}
+    for d, t in texts.items():
+        words = t.split()
+        for k in range(len(words) - 5):
+            seen.setdefault(tuple(words[k : k + 6]), set()).add(d)
+    want = {(a, b) for docs in seen.values() for a in docs for b in docs if a != b}
+    rows = repeats.shared_passages(table(spark, list(texts.items())), 6, 3).collect()
+    of = {}
+    for x in rows:
+        assert x["groups"] == sorted(set(x["groups"])) and len(x["groups"]) > 0
+        for g in x["groups"]:
+            of.setdefault(g, set()).add(x["doc_id"])
+    assert {(a, b) for docs in of.values() for a in docs for b in docs if a != b} == want
+
+
+def test_batches_keep_every_pair():
+    family, of = repeats.SuffixFamily(), {}
+    for batch in ([(7, 3, 0), (7, 4, 0)], [(7, 1, 100), (8, 1, 101)], [(8, 2, 5), (7, 9, 1)]):
+        key, doc, place = map(np.array, zip(*batch))
+        for d, _, _, k in zip(*family.find(key.astype(np.uint64), doc, place)):
+            of.setdefault(int(k), set()).add(int(d))
+    assert of == {7: {1, 3, 4, 9}, 8: {1, 2}}
