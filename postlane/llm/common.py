@@ -41,6 +41,18 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spare(df: DataFrame, *names: str) -> list[str]:
+    """Names for further columns of df, like those given but none that df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def texts_of(docs: DataFrame) -> DataFrame:
     """(doc_id, text) with the types that the kernels expect, whatever other columns docs has."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

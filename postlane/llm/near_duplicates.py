@@ -3,27 +3,27 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postlane.llm import golay
-from postlane.llm.common import blocks, drop_table, mix, settle, texts_of
+from postlane.llm.common import blocks, drop_table, mix, settle, spare, texts_of
 from postlane.llm.words import ALNUM, Hasher, lower, spans
 
-#: Segments of 23 bits that are indexed, how many of them a key joins, and the words of 64 bits of the whole fingerprint.
-SEGMENTS, TOGETHER, WORDS = 11, 2, 4
-#: Most differing bits of all 256; and of the first four segments' 92, for near_pairs() alone.
-NEAR_WIDE, NEAR_BITS = 52, 18
-#: Fingerprints of a group; a task searches two groups. The least number of groups.
-GROUP, LEAST_GROUPS = 1 << 17, 3
+#: Segments of 23 bits that are indexed, the indices that one has, and the words of 64 bits of the whole fingerprint.
+SEGMENTS, INDICES, WORDS = 11, 1 << golay.DATA, 4
+#: Most differing bits of all 256.
+NEAR_WIDE = 52
+#: Fingerprints of a bucket above which it is split, fingerprints that a task compares at once, bytes that it is sent.
+GROUP, CHUNK, TASK_BYTES = 1 << 17, 1 << 16, 64 << 20
 #: The least ratio between the numbers of different words of two near duplicates. The votes of long words outweigh the
 #: others, so a text stripped of its short words would pass for a copy.
 NEAR_SIZE = 0.8
 
-_PAIRS = list(combinations(range(SEGMENTS), TOGETHER))
+#: A fingerprint on its way to a bucket; the number of words also says, in its upper bit, on which side of a cell it is.
+_ROW = np.dtype([("w", "<u8", (WORDS,)), ("doc", "<i8"), ("n", "<u4")])
 _SCHEMA = "doc_id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, n bigint"
 
 
@@ -72,23 +72,38 @@ def _apart(w: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(w[k, x] ^ w[k, y]).astype(np.int64) for k in range(len(w)))
 
 
-def close_pairs(words: np.ndarray, near_wide: int, wanted) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y), x < y: rows of fingerprints that share the indices of two segments, differ in at most near_wide bits and are wanted(x, y).
+def buckets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, bucket): each index of each segment but the last, as segment * INDICES + index."""
+    rows, out = [], []
+    for s, piece in enumerate(segments(words).T[:-1]):
+        index, use = golay.indices(piece)
+        row, k = np.nonzero(use)
+        rows.append(row)
+        out.append(s * INDICES + index[row, k])
+    return np.concatenate(rows), np.concatenate(out)
 
-    Keys of one pair of segments are sorted at a time; rows with equal keys are compared at growing offsets, so memory
-    doesn't grow with the rows that share a key.
+
+def close_pairs(words: np.ndarray, cell: np.ndarray, bucket: np.ndarray, near_wide: int, wanted) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y), x < y: rows of one cell that share the index of a segment beyond their bucket's, differ in at most near_wide bits and are wanted(x, y).
+
+    Keys of one segment are sorted at a time; rows with equal keys are compared at growing offsets, so memory doesn't
+    grow with the rows that share a key. A pair counts in the first bucket that it shares alone, so that it is found
+    once, whatever cells it meets in.
     """
-    found = [golay.indices(x) for part in range(0, max(1, len(words)), 1 << 14) for x in segments(words[part : part + (1 << 14)]).T]
-    found = [tuple(np.concatenate(x) for x in zip(*found[s::SEGMENTS])) for s in range(SEGMENTS)]
-    found = [(i.astype(np.int64), m) for i, m in found]
-    w, row = np.ascontiguousarray(words.astype(np.uint64).T), np.arange(len(words), dtype=np.int64)[:, None, None]
-    pairs = np.zeros(0, np.int64)
-    for a, b in _PAIRS:
-        (ia, ma), (ib, mb) = found[a], found[b]
-        packed = ((ia[:, :, None] << 44) | (ib[:, None, :] << 32) | row)[ma[:, :, None] & mb[:, None, :]]
+    segment = bucket // INDICES
+    index, use = [], []
+    for part in range(0, len(words), 1 << 14):
+        found = [golay.indices(x) for x in segments(words[part : part + (1 << 14)]).T]
+        index.append(np.stack([i for i, _ in found]).astype(np.int16))
+        use.append(np.stack([m for _, m in found]))
+    index, use = np.concatenate(index, axis=1), np.concatenate(use, axis=1)
+    w, pairs = np.ascontiguousarray(words.T), [np.zeros(0, np.int64)]
+    for b in range(1, SEGMENTS):
+        row, k = np.nonzero(use[b] & (segment < b)[:, None])
+        packed = (cell[row] * INDICES + index[b, row, k]) << 32 | row
         packed.sort()
-        key, of = (packed >> 32).astype(np.int32), (packed & 0xFFFFFFFF).astype(np.int32)
-        at, far, new = np.arange(len(key)), 1, [pairs]
+        key, of = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
+        at, far = np.arange(len(key)), 1
         while len(at := at[at + far < len(key)]) and len(at := at[key[at + far] == key[at]]):
             x, y = of[at], of[at + far]  # x < y: rows are in order within a key
             ok = wanted(x, y)
@@ -96,10 +111,17 @@ def close_pairs(words: np.ndarray, near_wide: int, wanted) -> tuple[np.ndarray,
             ok = _apart(w[:2], x, y) <= near_wide
             x, y = x[ok], y[ok]
             ok = _apart(w, x, y) <= near_wide
-            new.append(np.unique(x[ok].astype(np.int64) << 32 | y[ok]))
+            pairs.append(np.unique(x[ok].astype(np.int64) << 32 | y[ok]))
             far += 1
-        pairs = np.unique(np.concatenate(new))
-    return pairs >> 32, pairs & 0xFFFFFFFF
+    pairs = np.unique(np.concatenate(pairs))
+    x, y = pairs >> 32, pairs & 0xFFFFFFFF
+    for s in range(SEGMENTS - 1):
+        a, b = np.where(use[s, x], index[s, x], -1), np.where(use[s, y], index[s, y], -2)
+        same = a[:, :, None] == b[:, None, :]
+        first = np.where(same, a[:, :, None], INDICES).min(axis=(1, 2))
+        keep = np.where(segment[x] == s, first == bucket[x] % INDICES, (first == INDICES) | (segment[x] < s))
+        x, y = x[keep], y[keep]
+    return x, y
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,39 +142,105 @@ def _bits(k: int, a: str, b: str) -> str:
     return f"bit_count({a}.w{k} ^ {b}.w{k})"
 
 
+def _words(b: pa.RecordBatch) -> np.ndarray:
+    return np.stack([b.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = np.zeros((SEGMENTS - 1) * INDICES, np.int64)
+    for b in batches:
+        if b.num_rows:
+            n += np.bincount(buckets(_words(b))[1], minlength=len(n))
+    at = np.flatnonzero(n)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["bucket", "n"])
+
+
+def _deal(split: np.ndarray):
+    """Rows (cell, fingerprints): each fingerprint goes to the cell of each of its buckets, or to as many as the bucket is split into groups."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush() -> Iterator[pa.RecordBatch]:
+            found = np.concatenate(held)
+            held.clear()
+            row, bucket = buckets(found["w"])
+            groups = split[bucket]
+            own = (mix(found["doc"]) >> np.uint64(1)).astype(np.int64)[row] % groups
+            row, bucket, own = (np.repeat(v, groups) for v in (row, bucket, own))
+            other = np.arange(len(row)) - np.repeat(np.cumsum(groups) - groups, groups)
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            cell = bucket << 40 | low << 20 | high
+            order = np.argsort(cell, kind="stable")
+            cell, rows = cell[order], found[row[order]]
+            rows["n"] |= ((low != high) & (own == high))[order].astype(np.uint32) << np.uint32(31)
+            cut = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            for part in range(0, len(cut), 1 << 12):
+                at = np.r_[cut, len(cell)][part : part + (1 << 12) + 1]
+                sent = rows[at[0] : at[-1]]
+                blob = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(((at - at[0]) * _ROW.itemsize).astype(np.int32)), pa.py_buffer(sent.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(cell[at[:-1]]), blob], ["cell", "rows"])
+
+        held: list[np.ndarray] = []
+        for b in batches:
+            if b.num_rows:
+                found = np.empty(b.num_rows, _ROW)
+                found["w"], found["doc"], found["n"] = _words(b), b.column("doc_id").to_numpy(), b.column("n").to_numpy()
+                held.append(found)
+                if sum(map(len, held)) * int(split.max()) >= CHUNK // 2:
+                    yield from flush()
+        if held:
+            yield from flush()
+
+    return run
+
+
 def _search(near_wide: int, near_size: float):
-    def run(table: pa.Table) -> pa.Table:
-        doc, n, g, i, j = (table.column(c).to_numpy() for c in ("doc_id", "n", "g", "i", "j"))
-        words = np.stack([table.column(f"w{k}").to_numpy() for k in range(WORDS)], axis=1).view(np.uint64)
-        within = len(doc) > 0 and i[0] == j[0]
-        x, y = close_pairs(words, near_wide, lambda x, y: (within | (g[x] != g[y])) & (np.minimum(n[x], n[y]) >= near_size * np.maximum(n[x], n[y])))
+    def pairs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(x for _, x in found), _ROW)
+        size = np.array([len(x) // _ROW.itemsize for _, x in found])
+        cell = np.repeat(np.array([c for c, _ in found]), size)
+        no = np.cumsum(np.r_[False, cell[1:] != cell[:-1]])
+        n, side, doc = (rows["n"] & np.uint32(0x7FFFFFFF)).astype(np.int64), rows["n"] >> np.uint32(31), rows["doc"]
+        within = (cell >> 20 & 0xFFFFF) == (cell & 0xFFFFF)
+        wanted = lambda x, y: (within[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) >= near_size * np.maximum(n[x], n[y]))
+        words = np.ascontiguousarray(rows["w"])
+        x, y = close_pairs(words, no, cell >> 40, near_wide, wanted)
         bits = _apart(np.ascontiguousarray(words.T), x, y).astype(np.int32)
-        return pa.table([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(bits)], ["a", "b", "bits"])
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(bits)], ["a", "b", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[int, bytes]] = []
+        size = 0
+        for b in batches:
+            for cell, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if size >= CHUNK * _ROW.itemsize and held[-1][0] != cell:
+                    yield pairs(held)
+                    held, size = [], 0
+                held.append((cell, rows))
+                size += len(rows)
+        if held:
+            yield pairs(held)
 
     return run
 
 
-def wide_pairs(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
-    """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, of texts with like numbers of words, given one row for each.
+def wide_pairs(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE, group: int = GROUP) -> DataFrame:
+    """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, of texts with like numbers of words, given one row for each; each pair once.
 
     Compared are those that share the Golay indices of two of SEGMENTS segments, 253 bits of the 256: certain up to 29
     differing bits, as ten segments with three or more make 30, and a matter of chance beyond; README has the recall
-    by distance. Fingerprints are dealt to groups by hash of doc_id, and a task takes two groups or one: keys are made
-    and sorted inside it, and a fingerprint goes through the shuffle once for each group, not once for each key.
+    by distance. A fingerprint is sent to the bucket of each index of its first ten segments, about 53 of 40,960; the
+    second index's keys are made and sorted inside the bucket's task and go through no shuffle, which so grows with
+    the fingerprints alone. Buckets are counted first: one of more than `group` fingerprints, as a large family of
+    near copies makes, is split into groups, and every two groups have a cell, so that no task holds more than two.
     """
-    groups = max(LEAST_GROUPS, -(-prints.count() // GROUP))
-    tasks = groups * (groups + 1) // 2
-    to = prints.withColumn("g", F.expr(f"cast(pmod(xxhash64(doc_id), {groups}) AS int)")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    to = to.select("doc_id", *(f"w{k}" for k in range(WORDS)), "n", "g", F.least("g", "o").alias("i"), F.greatest("g", "o").alias("j"))
-    return to.repartition(tasks, "i", "j").groupBy("i", "j").applyInArrow(_search(near_wide, near_size), "a bigint, b bigint, bits int")
-
-
-def near_pairs(prints: DataFrame, near_bits: int = NEAR_BITS, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
-    """Those of wide_pairs() that also differ in at most near_bits of the first four segments' 92 bits; fewer than nine there are certain to be found."""
-    piece = (1 << (2 * golay.BITS)) - 1
-    side = lambda c: prints.select(F.col("doc_id").alias(c), *(F.expr(f"w{k} & {piece}L").alias(f"{c}{k}") for k in range(2)))
-    found = wide_pairs(prints, near_wide, near_size).join(side("a"), "a").join(side("b"), "b")
-    return found.where(f"bit_count(a0 ^ b0) + bit_count(a1 ^ b1) <= {near_bits}").select("a", "b", "bits")
+    counted = prints.mapInArrow(_count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 40,960 rows at most
+    split = np.ones((SEGMENTS - 1) * INDICES, np.int64)
+    for r in counted:
+        split[r["bucket"]] = -(-r["n"] // group)
+    sent = sum(r["n"] * int(split[r["bucket"]]) for r in counted) * _ROW.itemsize
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_BYTES))
+    dealt = prints.mapInArrow(_deal(split), "cell bigint, rows binary").repartition(tasks, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_search(near_wide, near_size), "a bigint, b bigint, bits int")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -179,22 +267,27 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE) -> DataFrame:
-    """(doc_id, duplicate_of, bits): each document but the first of its group, the group's least doc_id, the bits between them.
+    """(doc_id, duplicate_of, bits, links): each document but the first of its group, the group's least doc_id, the bits between them, the other texts near it.
 
     Groups are the connected components of pairs of fingerprints that differ in at most near_wide of 256 bits, of
     texts whose numbers of different words are near_size of each other or nearer. Texts equal in both are one node, so
-    thousands of exact copies cost one search. A row that repeats a doc_id counts once; rows without a doc_id, and
-    texts that are null or have no word, are in no group. Texts are used whole. No documents, no rows.
+    thousands of exact copies cost one search; links counts the nodes that a document's own is paired with. A row that
+    repeats a doc_id counts once, with the most links; rows without a doc_id, and texts that are null or have no word,
+    are in no group. Texts are used whole. No documents, no rows.
     """
     every = settle(fingerprints(docs), "prints")
     words = ["n", *(f"w{k}" for k in range(WORDS))]
     node = settle(every.groupBy(*words).agg(F.min("doc_id").alias("doc_id")), "nodes")
-    root = settle(components(wide_pairs(node, near_wide, near_size)), "roots")
-    to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), *(f"n.{w}" for w in words))
+    pairs = settle(wide_pairs(node, near_wide, near_size), "pairs")
+    root = settle(components(pairs), "roots")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))
+    to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").join(degree.alias("d"), F.expr("n.doc_id = d.linked"), "left")
+    to = to.select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), F.coalesce("d.links", F.lit(0)).alias("links"), *(f"n.{w}" for w in words))
     member = every.alias("e").join(to.alias("t"), F.expr(" AND ".join(f"e.{w} = t.{w}" for w in words))).where("e.doc_id <> t.root")
     bits = " + ".join(_bits(k, "m", "h") for k in range(WORDS))
     head = node.alias("h")
-    return member.select("e.doc_id", "t.root", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left").groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"))
+    met = member.select("e.doc_id", "t.root", "t.links", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left")
+    return met.groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"), F.max("m.links").alias("links"))
 
 
 def keep_first(docs: DataFrame, **parameters: float) -> DataFrame:
@@ -203,10 +296,12 @@ def keep_first(docs: DataFrame, **parameters: float) -> DataFrame:
     A document without words has no copies and stays. Of rows that repeat a doc_id the one with the least text stays;
     rows without a doc_id stay.
     """
-    gone = near_duplicates(docs, **parameters).select(F.col("doc_id").alias("__gone"))
-    rest = docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
-    turn = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    return rest.withColumn("__turn", turn).where("__turn = 1 OR doc_id IS NULL").drop("__turn")
+    gone_id, turn = spare(docs, "gone", "turn")
+    gone = near_duplicates(docs, **parameters).select(F.col("doc_id").alias(gone_id))
+    rest = docs.join(gone, docs["doc_id"] == gone[gone_id], "left_anti")
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = rest.where(docs["doc_id"].isNotNull()).withColumn(turn, order).where(F.col(turn) == 1).drop(turn)
+    return one.unionByName(docs.where("doc_id IS NULL"))
 
 
 def op10_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:

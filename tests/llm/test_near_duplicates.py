@@ -43,23 +43,31 @@ def test_pairs_against_all_pairs(spark):
             prints[k * 10 + j] = [w ^ sum(1 << b for b in range(64) if r.random() < p) for w in base]
     signed = lambda w: w - (1 << 64) if w >> 63 else w
     df = table(spark, [(k, *map(signed, v), 9) for k, v in prints.items()], nd._SCHEMA)
-    got = {(x["a"], x["b"]): x["bits"] for x in nd.near_pairs(df).collect()}
-    indexed = lambda k: [w & ((1 << 46) - 1) for w in prints[k][:2]]
-    want, sure = {}, set()
+    want = {}
     for a, b in itertools.combinations(sorted(prints), 2):
-        d, e = hamming(prints[a], prints[b]), hamming(indexed(a), indexed(b))
-        if d <= nd.NEAR_WIDE and e <= nd.NEAR_BITS:
+        d = hamming(prints[a], prints[b])
+        if d <= nd.NEAR_WIDE:
             want[a, b] = d
-            if e < 9:
-                sure.add((a, b))
-    assert set(got) <= set(want) and all(got[p] == want[p] for p in got)
-    assert sure <= set(got)  # by the pigeonhole principle
-    assert len(got) >= 0.9 * len(want)
+    for group in (nd.GROUP, 3):  # at 3, buckets are split into cells of two groups
+        rows = nd.wide_pairs(df, group=group).collect()
+        got = {(x["a"], x["b"]): x["bits"] for x in rows}
+        assert len(rows) == len(got)  # each pair once
+        assert set(got) <= set(want) and all(got[p] == want[p] for p in got)
+        assert {p for p in want if want[p] < 30} <= set(got)  # by the pigeonhole principle
+        assert len(got) >= 0.95 * len(want)
 
 
-def test_equal_in_the_indexed_bits_alone(spark):
+def test_numbers_of_words_must_be_alike(spark):
     rows = [(1, 5, 9, 1, 1, 10), (2, 5, 9, 1, 3, 8), (3, 5, 9, -1, -1, 10), (4, 5, 9, 1, 1, 7)]
-    assert [(x["a"], x["b"], x["bits"]) for x in nd.near_pairs(table(spark, rows, nd._SCHEMA)).orderBy("a").collect()] == [(1, 2, 1), (2, 4, 1)]
+    assert [(x["a"], x["b"], x["bits"]) for x in nd.wide_pairs(table(spark, rows, nd._SCHEMA)).orderBy("a").collect()] == [(1, 2, 1), (2, 4, 1)]
+
+
+def test_indices_against_decoding_each_neighbour():
+    words = np.random.default_rng(7).integers(0, 1 << 23, 2000)
+    index, use = golay.indices(words)
+    for x, i, m in zip(words, index, use):
+        want = {int(golay.decode(np.array([x ^ e]))[0]) for e in [0, *(1 << b for b in range(23))]}
+        assert set(i[m].tolist()) == want and m.sum() == len(want)
 
 
 def test_components_against_union_find(spark):
@@ -98,6 +106,12 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert all(group[a] == b for a, b in got.items())
     later = [x for x in group if group[x] != x]
     assert len(got) >= 0.95 * len(later)
+    sig, n = nd.signatures(pa.array([t for _, t in rows]))
+    text = {d: (n[k], *sig[k].tolist()) for k, (d, _) in enumerate(rows)}
+    near = lambda a, b: hamming(a[1:], b[1:]) <= nd.NEAR_WIDE and min(a[0], b[0]) >= nd.NEAR_SIZE * max(a[0], b[0])
+    for x in nd.near_duplicates(table(spark, rows)).collect():
+        own = text[x["doc_id"]]
+        assert x["links"] == sum(near(own, t) for t in set(text.values()) - {own})
     kept = {x["doc_id"] for x in nd.keep_first(table(spark, rows)).collect()}
     assert kept == set(group) - set(got)
 
@@ -120,8 +134,8 @@ def test_bits_against_a_sum_over_words():
 
 
 def test_odd_tables(ugly, nothing):
-    got = {x["doc_id"]: (x["duplicate_of"], x["bits"]) for x in nd.near_duplicates(ugly).collect()}
-    assert got == {2: (1, 0)}
+    got = {x["doc_id"]: (x["duplicate_of"], x["bits"], x["links"]) for x in nd.near_duplicates(ugly).collect()}
+    assert got == {2: (1, 0, 0)}
     kept = nd.keep_first(ugly)
     assert kept.columns == ugly.columns
     ids = [str(x["doc_id"]) for x in kept.collect()]
