@@ -4,15 +4,22 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import uuid
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from postlane.llm.common import shared_folder
+
 #: Bytes of a chunk, and rows that a batch holds before it is passed on.
 CHUNK_BYTES, BATCH_BYTES = 8192, 4 << 20
+#: Bytes that are read at a time, and of a line without an end that are taken for one.
+LINE_BYTES = 65536
 
 SCHEMA = "record_id bigint, uri string, chunk_no int, begin bigint, n_bytes int, last boolean, payload binary, sha1 string"
 _NAMES = ["record_id", "uri", "chunk_no", "begin", "n_bytes", "last", "payload", "sha1"]
@@ -69,26 +76,35 @@ def chunk_table(pages: DataFrame, chunk_bytes: int = CHUNK_BYTES, record_id: str
 
 
 def verify(chunks: DataFrame) -> DataFrame:
-    """(record_id, n_chunks, n_bytes, whole): whether each record's chunks are all there and their digests hold.
+    """([path,] record_id, n_chunks, n_bytes, whole): whether each record's chunks are all there and their digests hold.
 
-    Each record's chunks stream by in order; one digest and one chunk are held at a time. Chunks without a record_id
-    aren't counted; rows that repeat a chunk of a record make it unsound.
+    Chunks that read_warc() made are told apart by path and record_id, others by record_id alone. Each record's chunks
+    stream by in order; one digest and one chunk are held at a time. Chunks without a record_id aren't counted; rows
+    that repeat a chunk of a record make it unsound, as does an error in reading it.
     """
+    by = ["path", "record_id"] if "path" in chunks.columns else ["record_id"]
+    kinds = [pa.string(), pa.int64()][-len(by) :]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple] = []
         state: list = []
 
-        def close() -> Iterator[pa.RecordBatch]:
+        def close() -> None:
             if state:
-                record, digest, n, size, sound, last = state
-                yield pa.RecordBatch.from_arrays([pa.array([record], pa.int64()), pa.array([n], pa.int64()), pa.array([size], pa.int64()), pa.array([sound and last])], ["record_id", "n_chunks", "n_bytes", "whole"])
+                key, _, n, size, sound, last = state
+                done.append((*key, n, size, sound and last))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done), [*kinds, pa.int64(), pa.int64(), pa.bool_()])], [*by, "n_chunks", "n_bytes", "whole"])
+                done.clear()
 
         for b in batches:
-            for record, no, begin, last, payload, sha1 in zip(*(b.column(k) for k in range(6))):
-                record = record.as_py()
-                if not state or state[0] != record:
-                    yield from close()
-                    state[:] = [record, hashlib.sha1(), 0, 0, True, False]
+            for *key, no, begin, last, payload, sha1 in zip(*b.columns):
+                key = [k.as_py() for k in key]
+                if not state or state[0] != key:
+                    close()
+                    state[:] = [key, hashlib.sha1(), 0, 0, True, False]
                 part = memoryview(payload.as_buffer()) if payload.is_valid else b""
                 state[4] &= no.as_py() == state[2] and begin.as_py() == state[3] and not state[5]
                 state[1].update(part)
@@ -96,104 +112,173 @@ def verify(chunks: DataFrame) -> DataFrame:
                 state[2] += 1
                 state[3] += len(part)
                 state[5] = bool(last.as_py())
-        yield from close()
+            yield from flush()
+        close()
+        yield from flush()
+
+    ordered = chunks.where("record_id IS NOT NULL").select(*by, "chunk_no", "begin", "last", "payload", "sha1")
+    ordered = ordered.repartition(*by).sortWithinPartitions(*by, "chunk_no")
+    return ordered.mapInArrow(run, ("path string, " if len(by) > 1 else "") + "record_id bigint, n_chunks bigint, n_bytes bigint, whole boolean")
 
-    ordered = chunks.where("record_id IS NOT NULL").select("record_id", "chunk_no", "begin", "last", "payload", "sha1")
-    ordered = ordered.repartition("record_id").sortWithinPartitions("record_id", "chunk_no")
-    return ordered.mapInArrow(run, "record_id bigint, n_chunks bigint, n_bytes bigint, whole boolean")
+
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
 
 
 def _open(path: str) -> BinaryIO:
-    system, inner = pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+    system, inner = _system(path)
     raw = system.open_input_stream(inner, compression=None)
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
 
 def _line(stream: BinaryIO, held: bytearray) -> bytes | None:
-    while (at := held.find(b"\n")) < 0:
-        more = stream.read(65536)
+    """The next line with its end, or as much of it as LINE_BYTES; None at the end."""
+    while (at := held.find(b"\n")) < 0 and len(held) < LINE_BYTES:
+        more = stream.read(LINE_BYTES)
         if not more:
-            line = bytes(held)
-            held.clear()
-            return line or None
+            at = len(held) - 1
+            break
         held += more
-    line = bytes(held[: at + 1])
-    del held[: at + 1]
-    return line
+    line = bytes(held[: at + 1 if at >= 0 else LINE_BYTES])
+    del held[: len(line)]
+    return line or None
+
 
+Chunk = tuple[dict[str, str], int, int, bytes, bool, str, str | None]
 
-def records_of(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[dict[str, str], int, int, bytes, bool, str]]:
-    """(headers, chunk number, begin, payload, last, sha1 so far) of a WARC stream, never more than a chunk of a record at a time.
 
-    Blank lines between records are passed over; a record cut short ends with a chunk that isn't the last.
+def records_of(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chunk]:
+    """(headers, chunk number, begin, payload, last, sha1 so far, error) of a WARC stream, never more than a chunk of a record at a time.
+
+    Blank lines between records are passed over. What isn't a record, or has no Content-Length that is a number, comes
+    as one empty chunk with an error that isn't the last, and reading goes on at the next line that begins a record. A
+    record cut short, or whose compressed bytes can't be read on, ends with a chunk that isn't the last.
     """
     held = bytearray()
-    while True:
+    empty = hashlib.sha1().hexdigest()
+    headers: dict[str, str] = {}
+    no, at, digest = 0, 0, hashlib.sha1()
+    try:
         line = _line(stream, held)
-        while line is not None and not line.strip():
+        while line is not None:
+            if not line.strip():
+                line = _line(stream, held)
+                continue
+            headers, no, at, digest, error = {}, 0, 0, hashlib.sha1(), None
+            if line.startswith(b"WARC/"):
+                while (line := _line(stream, held)) is not None and line.strip():
+                    name, _, value = line.decode("utf8", "replace").partition(":")
+                    headers[name.strip().lower()] = value.strip()
+                if not (headers.get("content-length") or "").isdecimal():
+                    error = f"no length: {headers.get('content-length')!r}"
+            else:
+                error = f"no record: {line[:40]!r}"
+            if error:
+                yield headers, 0, 0, b"", False, empty, error
+                while line is not None and not line.startswith(b"WARC/"):
+                    line = _line(stream, held)
+                continue
+            left = int(headers["content-length"])
+            while True:
+                want = min(chunk_bytes, left - at)
+                while len(held) < want and (more := stream.read(max(LINE_BYTES, want - len(held)))):
+                    held += more
+                part = bytes(held[:want])
+                del held[:want]
+                digest.update(part)
+                short = len(part) < want
+                yield headers, no, at, part, not short and at + len(part) == left, digest.hexdigest(), "cut short" if short else None
+                at += len(part)
+                no += 1
+                if at >= left or short:
+                    break
             line = _line(stream, held)
-        if line is None:
-            return
-        if not line.startswith(b"WARC/"):
-            raise ValueError(f"no WARC record at {line[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := _line(stream, held)) is not None and line.strip():
-            name, _, value = line.decode("utf8", "replace").partition(":")
-            headers[name.strip().lower()] = value.strip()
-        left, at, no, digest = int(headers.get("content-length", 0)), 0, 0, hashlib.sha1()
-        while True:
-            want = min(chunk_bytes, left - at)
-            while len(held) < want and (more := stream.read(max(65536, want - len(held)))):
-                held += more
-            part = bytes(held[:want])
-            del held[:want]
-            digest.update(part)
-            yield headers, no, at, part, at + len(part) == left, digest.hexdigest()
-            at += len(part)
-            no += 1
-            if at >= left or len(part) < want:
-                break
+    except (EOFError, gzip.BadGzipFile, zlib.error) as e:
+        yield headers, no, at, b"", False, digest.hexdigest(), f"can't be read: {e}"
 
 
 def read_warc(spark: SparkSession, paths: list[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk table of WARC files, .gz ones too, a task to a file; record_id is the number in the file, from 0.
+    """The chunk table of WARC files, .gz ones too, a task to a file.
 
-    The files must be where all executors can read them. Columns: path, warc_type and those of chunk_table().
+    Columns: path, record (the WARC-Record-ID), warc_type, those of chunk_table() and error; record_id is the record's
+    number in its file, from 0. What can't be read is a row with an error, see records_of(), and fails nothing else; a
+    file that isn't there does. The files must be where all executors can read them; a path given twice is read twice.
     """
-    schema = "path string, warc_type string, " + SCHEMA
+    schema = f"path string, record string, warc_type string, {SCHEMA}, error string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path in b.column(0).to_pylist():
-                rows, kinds, number = _Rows(), [], -1
+                rows, heads, number = _Rows(), [], -1
                 with _open(path) as stream:
-                    for headers, no, at, part, last, sha1 in records_of(stream, chunk_bytes):
+                    for headers, no, at, part, last, sha1, error in records_of(stream, chunk_bytes):
                         number += no == 0
-                        kinds.append(headers.get("warc-type"))
+                        heads.append((path, headers.get("warc-record-id"), headers.get("warc-type"), error))
                         for out in rows.add(number, headers.get("warc-target-uri"), no, at, len(part), last, part, sha1):
-                            yield _with(path, kinds, out)
+                            yield _with(heads, out)
                     for out in rows.flush():
-                        yield _with(path, kinds, out)
+                        yield _with(heads, out)
 
-    def _with(path: str, kinds: list, out: pa.RecordBatch) -> pa.RecordBatch:
-        made = pa.RecordBatch.from_arrays([pa.array([path] * out.num_rows), pa.array(kinds, pa.string()), *out.columns], ["path", "warc_type", *_NAMES])
-        kinds.clear()
-        return made
+    def _with(heads: list[tuple], out: pa.RecordBatch) -> pa.RecordBatch:
+        path, record, kind, error = (pa.array(x, pa.string()) for x in zip(*heads))
+        heads.clear()
+        return pa.RecordBatch.from_arrays([path, record, kind, *out.columns, error], ["path", "record", "warc_type", *_NAMES, "error"])
 
     if not paths:
         return spark.createDataFrame([], schema)
     return spark.createDataFrame([(p,) for p in paths], "path string").repartition(len(paths)).mapInArrow(run, schema)
 
 
-def warc_bytes(record_id: int, uri: str | None, payload: bytes) -> bytes:
+def _head(record_id: int | None, uri: str | None, size: int) -> bytes:
+    uri = uri and uri.replace("\r", "%0D").replace("\n", "%0A")
+    lines = ["WARC/1.1", "WARC-Type: resource", f"WARC-Record-ID: <urn:record:{'' if record_id is None else record_id}>", *([f"WARC-Target-URI: {uri}"] if uri else []), f"Content-Length: {size}"]
+    return "\r\n".join([*lines, "", ""]).encode()
+
+
+def warc_bytes(record_id: int | None, uri: str | None, payload: bytes) -> bytes:
     """One record of type resource."""
-    head = f"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:record:{record_id}>\r\n" + (f"WARC-Target-URI: {uri}\r\n" if uri else "") + f"Content-Length: {len(payload)}\r\n\r\n"
-    return head.encode() + payload + b"\r\n\r\n"
+    return _head(record_id, uri, len(payload)) + payload + b"\r\n\r\n"
+
+
+def write_warc(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str = "url", payload: str = "html") -> list[str]:
+    """Write a record for each page that has a payload, a file for each partition, and give the files' paths.
+
+    A payload is written from the column's buffer in pieces. A file gets its name once it is whole, so a task that runs
+    again, or twice at once, leaves one file of the same bytes; partitions without a record leave none. An id or
+    address that is null is left empty or out.
+    """
+    system, inner = _system(folder)
+    system.create_dir(inner, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name = f"{folder}/part-{task.partitionId():06d}.warc"
+        own, final = _system(name)
+        part, stream = f"{final}.{task.taskAttemptId()}", None
+        for b in batches:
+            ids, uris = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for k in range(b.num_rows):
+                if b.column(2)[k].is_valid:
+                    stream = stream or own.open_output_stream(part)
+                    view = memoryview(b.column(2)[k].as_buffer())
+                    stream.write(_head(ids[k], uris[k], len(view)))
+                    for at in range(0, len(view), 1 << 20):
+                        stream.write(view[at : at + (1 << 20)])
+                    stream.write(b"\r\n\r\n")
+        if stream:
+            stream.close()
+            own.move(part, final)
+            yield pa.RecordBatch.from_arrays([pa.array([name])], ["path"])
+
+    one = pages.select(F.col(record_id).cast("bigint").alias("record_id"), F.col(uri).cast("string").alias("uri"), F.col(payload).cast("binary").alias("payload"))
+    return sorted(r[0] for r in one.mapInArrow(run, "path string").collect())
 
 
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of all pages, payloads in base64."""
-    return chunk_table(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))
+    """All pages as WARC files in the shared folder, those read in a stream as chunks; payloads in base64. A page's id is in its record's."""
+    paths = write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}")
+    chunks = read_warc(spark, paths).withColumn("record_id", F.regexp_extract("record", r"^<urn:record:(-?\d+)>$", 1).try_cast("bigint"))
+    return chunks.select(*_NAMES).withColumn("payload", F.translate(F.base64("payload"), "\r\n", ""))
 
 
 OP7_SQL = f"""

@@ -1,6 +1,7 @@
 import gzip
 import hashlib
 import io
+import os
 import random
 
 import pytest
@@ -74,9 +75,44 @@ def test_no_more_than_a_chunk_is_held():
     parts = list(warc.records_of(stream, 1000))
     assert len(parts) == 3000 and stream.most <= 65536
     cut = list(warc.records_of(io.BytesIO(warc.warc_bytes(1, None, b"z" * 3000)[:1500]), 1000))
-    assert not cut[-1][4]
-    with pytest.raises(ValueError):
-        list(warc.records_of(io.BytesIO(b"HTTP/1.1 200\r\n")))
+    assert not cut[-1][4] and cut[-1][6] == "cut short"
+
+
+def test_what_is_malformed_is_a_row_and_the_rest_is_read():
+    good = [warc.warc_bytes(k, None, bytes([65 + k]) * 10) for k in range(4)]
+    no_length, odd_length = (b"WARC/1.1\r\nWARC-Type: resource\r\n" + x + b"\r\nlost\r\n" for x in (b"", b"Content-Length: ten\r\n"))
+    raw = good[0] + b"HTTP/1.1 200\r\nx: y\r\n\r\n" + good[1] + no_length + good[2] + odd_length + b"q" * 200_000 + b"\n" + good[3]
+    found = list(warc.records_of(io.BytesIO(raw), 100))
+    assert [bytes(x[3]) for x in found if x[4]] == [bytes([65 + k]) * 10 for k in range(4)]
+    assert [x[6] is None for x in found] == [True, False, True, False, True, False, True]
+    assert list(warc.records_of(io.BytesIO(b""))) == [] == list(warc.records_of(io.BytesIO(b"\r\n\n")))
+    spoiled = gzip.compress(good[0]) + gzip.compress(warc.warc_bytes(9, None, random.Random(1).randbytes(5000)))[:3000]
+    found = list(warc.records_of(gzip.GzipFile(fileobj=io.BytesIO(spoiled)), 100_000))
+    assert found[0][4] and not found[-1][4] and found[-1][6].startswith("can't be read")
+
+
+def test_records_of_two_files_are_told_apart(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.warc").write_bytes(b"".join(warc.warc_bytes(k, f"http://{name}/{k}", name.encode() * 30) for k in range(3)) + (b"junk\n" if name == "b" else b""))
+    rows = warc.read_warc(spark, [str(tmp_path / f"{x}.warc") for x in "ab"], 20)
+    assert {(r["path"][-6], r["record"]) for r in rows.collect()} == {*((x, f"<urn:record:{k}>") for x in "ab" for k in range(3)), ("b", None)}
+    got = {(r["path"][-6], r["record_id"]): (r["n_chunks"], r["n_bytes"], r["whole"]) for r in warc.verify(rows).collect()}
+    assert got == {**{(x, k): (2, 30, True) for x in "ab" for k in range(3)}, ("b", 3): (1, 0, False)}
+
+
+def test_pages_to_files_and_back(spark, tmp_path):
+    rows = [(1, "u", "aa"), (1, "u", "aa"), (None, None, "b"), (2, None, None), (3, "v\nw", "é" * 300_000), (4, "u", "")]
+    odd = table(spark, [(*r, "z") for r in rows], SCHEMA + ", record string").repartition(3)
+    paths = warc.write_warc(odd, f"file://{tmp_path}/out")
+    got = warc.read_warc(spark, paths, 100_000)
+    whole = {}
+    for r in got.orderBy("path", "record_id", "chunk_no").collect():
+        key = r["path"], r["record_id"]
+        whole[key] = (r["record"], r["uri"], whole.get(key, ("", "", b""))[2] + bytes(r["payload"]))
+    want = [(f"<urn:record:{'' if k is None else k}>", u and u.replace("\n", "%0A"), p.encode()) for k, u, p in rows if p is not None]
+    assert sorted(whole.values(), key=repr) == sorted(want, key=repr)
+    assert sorted(os.listdir(tmp_path / "out")) == [p.rpartition("/")[2] for p in paths]
+    assert warc.write_warc(pages(spark, []), f"file://{tmp_path}/none") == []
 
 
 def test_odd_tables(spark):
