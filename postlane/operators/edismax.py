@@ -27,12 +27,12 @@ def parse_query(fields: Mapping[str, SearchIndex], q: str, names: Sequence[str])
 def _term_scores(index: SearchIndex, field: str, terms: list[str], boost: float, similarity: Similarity) -> DataFrame:
     """(doc_id, field, ord, score): one scan of the postings for all terms; a term that occurs twice in the query scores twice."""
     distinct = list(dict.fromkeys(terms))
-    ords = F.create_map(*(x for t in distinct for x in (F.lit(t), F.array(*(F.lit(k) for k, u in enumerate(terms) if u == t)))))
-    hits = index.postings.where(F.col("term").isin(distinct)).select("term", "doc_id", "tf")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats))  # df: a row for each term of the query
-    score = similarity(F.col("tf"), [F.col("df")], F.col("doc_len"), F.col("avg_doc_len"), F.col("n_docs")).cast("double") * F.lit(float(boost))
-    return rows.select("doc_id", F.lit(field).alias("field"), F.explode(ords[F.col("term")]).alias("ord"), score.alias("score"))
+    pick = lambda cases: reduce(lambda w, tv: w.when(F.col("term") == tv[0], tv[1]), cases[1:], F.when(F.col("term") == cases[0][0], cases[0][1]))
+    hits = index.postings.where(F.col("term").isin(distinct)).select("term", "doc_id", "tf", "doc_len")
+    rows, dfs, avg, n = index.with_numbers(hits, distinct)
+    score = similarity(F.col("tf"), [pick(list(zip(distinct, dfs)))], F.col("doc_len"), avg, n).cast("double") * F.lit(float(boost))
+    ords = pick([(t, F.array(*(F.lit(k) for k, u in enumerate(terms) if u == t))) for t in distinct])
+    return rows.select("doc_id", F.lit(field).alias("field"), F.explode(ords).alias("ord"), score.alias("score"))
 
 
 def _phrase_scores(index: SearchIndex, grams: list[tuple[list[str], float]], similarity: Similarity, matched: DataFrame) -> DataFrame:
@@ -40,9 +40,10 @@ def _phrase_scores(index: SearchIndex, grams: list[tuple[list[str], float]], sim
     distinct = list(dict.fromkeys(t for g, _ in grams for t in g))
     at = {t: k for k, t in enumerate(distinct)}
     rows = index.postings.where(F.col("term").isin(distinct)).join(matched, "doc_id", "left_semi")
-    wide = rows.groupBy("doc_id").agg(*(F.max(F.when(F.col("term") == t, F.col("posns"))).alias(f"p{k}") for t, k in at.items()))
-    dfs = rows.groupBy().agg(*(F.count(F.when(F.col("term") == t, 1)).alias(f"df{k}") for t, k in at.items()))
-    rows = wide.join(index.docs, "doc_id").crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(dfs))  # a row each
+    places = rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "posns"))).alias("m"), F.max("doc_len").alias("doc_len"))
+    wide = places.select("doc_id", "doc_len", *(F.try_element_at("m", F.lit(t)).alias(f"p{k}") for t, k in at.items()))
+    dfs = wide.agg(*(F.count(f"p{k}").alias(f"df{k}") for k in at.values()))  # reads what is shuffled for the documents again
+    rows = wide.crossJoin(F.broadcast(index.stats)).crossJoin(F.broadcast(dfs))  # a row each
 
     def one(gram: list[str], boost: float) -> Column:
         tf = phrases.exact([F.col(f"p{at[t]}") for t in gram], gram[0] == gram[1])

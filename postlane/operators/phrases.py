@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, functions as F
 
 
@@ -37,38 +36,30 @@ def exact(places: Sequence[Column], repeated_start: bool) -> Column:
     return F.when(there, count).otherwise(F.lit(0))
 
 
-def windows(places: list[list[int]], terms: list[int], width: int) -> int:
-    """Disjoint windows, earliest end first, that hold a place of its own for each term and span at most `width` words."""
-    need: dict[int, int] = {}
-    for t in terms:
-        need[t] = need.get(t, 0) + 1
-    held: dict[int, list[int]] = {t: [] for t in need}
-    count = 0
-    for p, t in sorted((p, t) for t in need for p in places[t]):
-        held[t].append(p)
-        if any(len(x) < need[t] for t, x in held.items()):
-            continue
-        first = min(held[t][-n] for t, n in need.items())
-        if p - first <= width:
-            count += 1
-            held = {t: [] for t in need}
-    return count
-
-
 def near(places: Sequence[Column], terms: Sequence[str], slop: int) -> Column:
-    """Occurrences of the terms in any order within n - 1 + slop words of each other, never fewer than exact ones."""
-    distinct = list(dict.fromkeys(terms))
-    index, width = [distinct.index(t) for t in terms], len(terms) - 1 + slop
-
-    @F.pandas_udf("int")
-    def batch(rows: pd.Series) -> pd.Series:
-        def one(row: object) -> int:
-            if row is None or any(x is None for x in row):
-                return 0
-            return windows([[int(p) for p in x] for x in row], index, width)
-
-        return rows.map(one).astype("int32")
+    """Occurrences of the terms in any order within n - 1 + slop words of each other, never fewer than exact ones.
 
+    Counted are disjoint windows, earliest end first, that hold a place of its own for each term. The places of all
+    terms are sorted into one array that is folded: the state is the last places of each term, as many as it has in
+    the phrase, the earliest first; a window is full when none is missing.
+    """
+    distinct = list(dict.fromkeys(terms))
+    slots = [(k, j) for k, t in enumerate(distinct) for j in range(list(terms).count(t))]
     by_term = dict(zip(terms, places))
-    count = batch(F.array(*(by_term[t] for t in distinct)))
+    marked = lambda k: lambda p: p.cast("bigint") * len(distinct) + k
+    events = [F.transform(by_term[t], marked(k)) for k, t in enumerate(distinct)]
+    merged = F.array_sort(F.concat(*events)) if len(events) > 1 else events[0]
+    none = F.lit(-1).cast("bigint")
+    zero = F.struct(F.lit(0).alias("n"), *(none.alias(f"s{k}_{j}") for k, j in slots))
+
+    def step(acc: Column, e: Column) -> Column:
+        p, of = F.floor(e / len(distinct)), e % len(distinct)
+        last = {(k, j) for k, j in slots if (k, j + 1) not in slots}
+        held = [F.when(of == k, p if (k, j) in last else acc[f"s{k}_{j + 1}"]).otherwise(acc[f"s{k}_{j}"]) for k, j in slots]
+        first = F.least(*held) if len(held) > 1 else held[0]
+        full = (first >= 0) & (p - first <= len(terms) - 1 + slop)
+        return F.struct((acc["n"] + F.when(full, 1).otherwise(0)).alias("n"), *(F.when(full, none).otherwise(h).alias(f"s{k}_{j}") for h, (k, j) in zip(held, slots)))
+
+    there = reduce(lambda a, b: a & b, [p.isNotNull() for p in places])
+    count = F.when(there, F.aggregate(merged, zero, step, lambda acc: acc["n"])).otherwise(F.lit(0))
     return F.greatest(count, exact(places, len(terms) > 1 and terms[0] == terms[1]))

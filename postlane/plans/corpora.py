@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from postlane.functions.tokenizers import NAMED, keyword, whitespace
 from postlane.operators.index import SearchIndex
-
-
-def folder(spark: SparkSession) -> str:
-    """Where indexes go: the folder that executors share, from spark.checkpoint.dir, or a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or getattr(spark, "_postlane_indexes", None)
-    if not path:
-        path = spark._postlane_indexes = "file://" + tempfile.mkdtemp(prefix="postlane-")
-    return path.rstrip("/")
+from postlane.operators.shared import folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from postlane.plans.queries import CAP, EDISMAX, OTHER, PHRASES, TERM
+from postlane.operators.index import MAX_PLACES
+from postlane.plans.queries import EDISMAX, OTHER, PHRASES, TERM
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -42,7 +43,7 @@ ORACLE_SQL |= {
     "build_postings": f"{_BASE} SELECT term, doc_id, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS places FROM ps GROUP BY term, doc_id",
     "index_roundtrip": f"{_BASE} SELECT term, doc_id, count(*) AS tf FROM ps GROUP BY term, doc_id",
     "doc_lengths": f"{_BASE} SELECT doc_id, dl::BIGINT AS doc_len FROM l",
-    "index_truncate": f"{_BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ps WHERE pos < {CAP} GROUP BY term",
+    "index_truncate": f"{_BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM ps WHERE pos < {MAX_PLACES} GROUP BY term",
     "index_concat": f"{_BASE} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, max(n) AS n_docs, round(max(avgdl), 6) AS avg_doc_len FROM ps, st GROUP BY term",
     "index_upsert": f"""WITH {_TOKENS.replace('tk AS', 'whole AS')}, tk AS (SELECT w.doc_id, CASE WHEN d.lang = 'fr' THEN w.t[1:8] ELSE w.t END AS t FROM whole w JOIN documents d USING (doc_id)),{_REST}
 SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf, max(n) AS n_docs, round(max(avgdl), 6) AS avg_doc_len FROM ps, st GROUP BY term""",
@@ -184,14 +185,16 @@ sc_{f} AS (SELECT doc_id, ord, {_q(f)} AS field, {b if central else 1.0}::DOUBLE
 
 ORACLE_SQL |= {name: _edismax(**parameters) for name, parameters in EDISMAX.items()}
 
-_SETS = f"WITH {_TOKENS}, {_TITLES}, s AS (SELECT doc_id, list_sort(list_distinct(t)) AS terms, len(t) AS doc_len FROM tt)"
+_SETS = f"WITH {_TOKENS}, {_TITLES}, s AS (SELECT doc_id, list_sort(list_distinct(t)) AS terms, len(t) AS doc_len FROM tk)"
 ORACLE_SQL |= {
     "doc_terms": f"{_BASE} SELECT term, count(*) AS tf, string_agg(pos::VARCHAR, ' ' ORDER BY pos) AS places FROM ps WHERE doc_id = 7 GROUP BY term",
     "take_rows": f"""{_SETS}, w(ord, doc_id) AS (VALUES (0, 5), (1, 3), (2, 3), (3, -1), (4, 8))
 SELECT w.ord::BIGINT AS ord, w.doc_id::BIGINT AS doc_id, coalesce(array_to_string(terms, ' '), '') AS terms, coalesce(doc_len, 0)::BIGINT AS doc_len FROM w LEFT JOIN s USING (doc_id)""",
-    "row_equality": f"{_SETS} SELECT s.doc_id, list_sort(list_distinct(tk.t)) = s.terms AND len(tk.t) = s.doc_len AS equal FROM s JOIN tk USING (doc_id)",
+    "row_equality": f"{_SETS} SELECT s.doc_id, list_sort(list_distinct(tt.t)) = s.terms AND len(tt.t) = s.doc_len AS equal FROM s JOIN tt USING (doc_id)",
     "isna_docs": "SELECT doc_id, lang IS NULL OR lang = 'es' OR text IS NULL OR NOT regexp_matches(text, '\\S') AS missing FROM documents",
     "value_counts": f"{_SETS} SELECT array_to_string(terms, ' ') AS terms, doc_len::BIGINT AS doc_len, count(*) AS n FROM s WHERE doc_len > 0 GROUP BY ALL",
+    "unique_docs": f"{_SETS} SELECT DISTINCT array_to_string(terms, ' ') AS terms, doc_len::BIGINT AS doc_len FROM s",
+    "memory_usage": f"{_BASE} SELECT (8 * (SELECT count(*) FROM (SELECT DISTINCT term, doc_id FROM ps)) + 4 * (SELECT count(*) FROM ps) + 4 * (SELECT count(*) FROM l))::BIGINT AS n_bytes",
     "factorize": f"{_SETS} SELECT doc_id, CASE WHEN doc_len = 0 THEN -1 ELSE min(doc_id) OVER w END AS code, CASE WHEN doc_len = 0 THEN 0 ELSE count(*) OVER w END AS n FROM s WINDOW w AS (PARTITION BY terms, doc_len)",
     "dense_frequencies": f"{_BASE} SELECT l.doc_id, count(*) FILTER (term = {_q(TERM)}) AS tf_0, count(*) FILTER (term = {_q(OTHER)}) AS tf_1 FROM l LEFT JOIN ps USING (doc_id) GROUP BY l.doc_id",
     "keys_intersect": f"{_BASE} SELECT doc_id FROM ps WHERE term = {_q(OTHER)} INTERSECT SELECT doc_id FROM ps WHERE term = {_q(TERM)}",
@@ -202,5 +205,6 @@ SELECT w.ord::BIGINT AS ord, w.doc_id::BIGINT AS doc_id, coalesce(array_to_strin
     "keys_bits": "SELECT doc_id, bit_count(doc_id)::BIGINT AS bits FROM documents",
 }
 
-#: The same SQL over whole texts in place of titles.
-ORACLE_SQL |= {f"{name}_whole": ORACLE_SQL[name].replace(" FROM tt)", " FROM tk)", 1) for name in ("take_rows", "value_counts", "factorize")}
+#: An array of a document's words, sorted, each with its bytes turned round and closed by a mark above them: its order is that of the documents.
+ORACLE_SQL["sort_docs"] = f"""WITH {_TOKENS}, k AS (SELECT doc_id, list_transform(list_sort(t), lambda x: translate(hex(encode(x)), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G') AS key FROM tk)
+SELECT doc_id, row_number() OVER (ORDER BY key, doc_id)::INTEGER AS rank FROM k"""

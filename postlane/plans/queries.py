@@ -11,15 +11,15 @@ from postlane.functions import similarity as sim, tokenizers as tok
 from postlane.operators import documents as docs_ops, sets
 from postlane.operators.edismax import edismax
 from postlane.operators.index import SearchIndex, token_table, triples
-from postlane.operators.results import Results, top
-from postlane.plans.corpora import documents, folder, index, table
+from postlane.operators.results import Results
+from postlane.operators.shared import folder
+from postlane.plans.corpora import documents, index, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 TERM, OTHER = "the", "of"
 PHRASES = {"phrase_2": ["of", "the"], "phrase_3": ["The", "and", "attion"], "phrase_5": ["attion", "to", "thanedble", "the,", "anea."], "phrase_same_term": ["the", "the"], "phrase_missing": ["the", "no-such-word"]}
-CAP = 100
 
 
 def query(f: Query) -> Query:
@@ -51,7 +51,8 @@ for _name, _tokenizer in {
 
 @query
 def token_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triples(token_table(documents(spark, sf_dir), "text", "doc_id", tok.whitespace)).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "term")
+    rows = token_table(documents(spark, sf_dir), "text", "doc_id", tok.whitespace).select("doc_id", F.size("tokens").alias("doc_len"), F.col("tokens").alias("words"))
+    return triples(rows).select("doc_id", F.col("pos").cast("bigint").alias("pos"), "term")
 
 
 @query
@@ -66,7 +67,7 @@ def doc_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def index_truncate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut = SearchIndex.build(documents(spark, sf_dir), truncate=True, max_places=CAP)
+    cut = SearchIndex.build(documents(spark, sf_dir), truncate=True)
     return cut.term_stats().select("term", "df", "cf")
 
 
@@ -123,6 +124,11 @@ def memory_report_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index(spark, sf_dir).top_terms(10)
 
 
+@query
+def memory_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return index(spark, sf_dir).memory_usage()
+
+
 # matching
 
 
@@ -227,14 +233,14 @@ for _name, _parameters in EDISMAX.items():
 
 @query
 def topk_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(top(index(spark, sf_dir).score(TERM), 10))
+    return _rounded(index(spark, sf_dir).top(TERM, 10))
 
 
 @query
 def topk_multi_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     body, found = index(spark, sf_dir), Results(5, table(spark, sf_dir, "documents"), ["lang", "source"])
     for word in (TERM, OTHER, "que"):
-        found.insert(body.score(word), word)
+        found.search(body, word, word)
     return found.all().select("query", F.col("rank").cast("bigint").alias("rank"), "doc_id", F.round("score", 6).alias("score"), "lang", "source")
 
 
@@ -252,16 +258,11 @@ def slice_then_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(index(spark, sf_dir).filter(chosen).score(TERM))
 
 
-def _take(spark: SparkSession, index: SearchIndex) -> DataFrame:
-    wanted = spark.createDataFrame(list(enumerate([5, 3, 3, -1, 8])), "ord bigint, doc_id bigint")
-    rows = docs_ops.take(index, wanted)
-    return rows.select("ord", "doc_id", F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"))
-
-
 @query
 def take_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of titles; take_rows_whole has whole texts."""
-    return _take(spark, index(spark, sf_dir, "title"))
+    wanted = spark.createDataFrame(list(enumerate([5, 3, 3, -1, 8])), "ord bigint, doc_id bigint")
+    rows = docs_ops.take(index(spark, sf_dir), wanted)
+    return rows.select("ord", "doc_id", F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"))
 
 
 @query
@@ -277,21 +278,20 @@ def isna_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_ops.is_missing(SearchIndex.build(blank))
 
 
-def _counted(index: SearchIndex) -> DataFrame:
-    rows = docs_ops.value_counts(index)
+@query
+def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docs_ops.value_counts(index(spark, sf_dir))
     return rows.select(F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"), "n")
 
 
 @query
-def value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of titles; value_counts_whole has whole texts."""
-    return _counted(index(spark, sf_dir, "title"))
+def unique_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return docs_ops.unique(index(spark, sf_dir)).select(F.array_join("terms", " ").alias("terms"), F.col("doc_len").cast("bigint").alias("doc_len"))
 
 
 @query
 def factorize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of titles; factorize_whole has whole texts."""
-    return docs_ops.factorize(index(spark, sf_dir, "title"))
+    return docs_ops.factorize(index(spark, sf_dir))
 
 
 @query
@@ -299,24 +299,6 @@ def sort_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs_ops.sort_documents(index(spark, sf_dir))
 
 
-# the same on whole texts
-
-
-@query
-def take_rows_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _take(spark, index(spark, sf_dir))
-
-
-@query
-def value_counts_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _counted(index(spark, sf_dir))
-
-
-@query
-def factorize_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs_ops.factorize(index(spark, sf_dir))
-
-
 @query
 def dense_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docs_ops.term_frequencies(index(spark, sf_dir), [TERM, OTHER])

@@ -34,6 +34,5 @@ def test_each_query_against_its_sql(spark, duck, name):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", ["phrase_slop_freqs", "sort_docs"])
-def test_queries_without_sql_run(spark, name):
-    assert entry.queries()[name](spark, SMALL).count() > 0
+def test_a_query_without_sql_runs(spark):
+    assert entry.queries()["phrase_slop_freqs"](spark, SMALL).count() > 0

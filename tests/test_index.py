@@ -134,10 +134,12 @@ def test_arguments(base, spark):
         base.positions("none", check=True)
 
 
-def test_long_documents(spark):
+def test_long_documents(spark, tmp_path):
     df = table(spark, ["a b c d e f", "a b"])
     with pytest.raises(Exception, match="more words"):
         SearchIndex.build(df, max_places=4).termfreqs("a").collect()
+    with pytest.raises(Exception, match="more words"):
+        SearchIndex.build(df, max_places=4).save(str(tmp_path / "x"))
     cut = SearchIndex.build(df, max_places=4, truncate=True)
     assert column(cut.docs, "doc_len") == [4, 2]
     assert column(cut.termfreqs("e"), "tf") == [0, 0]
@@ -198,6 +200,93 @@ def test_documents_as_rows(spark):
         docs_ops.document(index, 99)
 
 
+def near(places, need, width):
+    """Disjoint windows, earliest end first, that hold a place of its own for each term."""
+    held, n = {t: [] for t in need}, 0
+    for p, t in sorted((p, t) for t in need for p in places[t]):
+        held[t].append(p)
+        if all(len(held[t]) >= k for t, k in need.items()) and p - min(held[t][-k] for t, k in need.items()) <= width:
+            held, n = {t: [] for t in need}, n + 1
+    return n
+
+
+def test_slop_frequencies_against_a_scan(spark):
+    r = random.Random(9)
+    texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 80))) for _ in range(50)]
+    index = SearchIndex.build(table(spark, texts))
+    for phrase in (["a", "b"], ["c", "a", "b"], ["a", "b", "a"], ["a", "a"], ["a", "a", "b", "b"]):
+        need = {t: phrase.count(t) for t in phrase}
+        exact = column(index.termfreqs(phrase), "tf")
+        for slop in (1, 3, 9):
+            want = [near({t: [k for k, w in enumerate(x.split()) if w == t] for t in need}, need, len(phrase) - 1 + slop) for x in texts]
+            want = [max(w, e) if all(t in x.split() for t in need) else 0 for w, e, x in zip(want, exact, texts)]
+            assert column(index.termfreqs(phrase, slop=slop), "tf") == want
+
+
+@pytest.fixture(scope="module")
+def random_texts(spark, tmp_path_factory):
+    r = random.Random(8)
+    texts = [" ".join(r.choice("abbccccdddddddd") for _ in range(r.randint(0, 30))) for _ in range(60)] + ["rare a b", ""]
+    lazy = SearchIndex.build(table(spark, texts))
+    path = str(tmp_path_factory.mktemp("saved"))
+    lazy.save(path)
+    return texts, lazy, SearchIndex.load(spark, path)
+
+
+@pytest.mark.parametrize("most", [0, 8 << 20])
+def test_saved_and_lazy_indexes_agree(random_texts, monkeypatch, most):
+    """With everything small enough to be broadcast, and with nothing."""
+    monkeypatch.setattr("postlane.operators.index.BROADCAST_BYTES", most)
+    _, lazy, saved = random_texts
+    for token in ("a", "rare", "none", ["a", "b"], ["d", "c", "d"], ["rare", "a", "b"], ["b", "none"], ["d", "d"]):
+        for how in ({}, {"slop": 2}, {"min_posn": 18}):
+            a, b = (x.score(token, **how).join(x.termfreqs(token, **how), "doc_id").orderBy("doc_id").collect() for x in (lazy, saved))
+            assert a == b
+    for term in ("c", "none"):
+        assert column(saved.positions(term), "posns") == column(lazy.positions(term), "posns")
+    chosen = F.col("doc_id") % 3 == 1
+    assert column(saved.filter(chosen).score(["c", "d"]), "score") == column(lazy.filter(chosen).score(["c", "d"]), "score")
+
+
+def test_the_best_are_those_of_all_scores(random_texts):
+    _, lazy, saved = random_texts
+    falling = lambda tf, dfs, dl, avgdl, n: F.lit(5.0) - tf
+    for token in ("a", "rare", "none", ["a", "b"]):
+        for similarity in (sim.bm25(), falling):
+            for n in (1, 5, 100):
+                want = top(lazy.score(token, similarity), n).collect()
+                assert saved.top(token, n, similarity).collect() == want == lazy.top(token, n, similarity).collect()
+
+
+def test_saved_counts_and_sizes(random_texts):
+    texts, lazy, saved = random_texts
+    as_set = lambda df: sorted(map(tuple, df.collect()))
+    assert as_set(saved.term_stats()) == as_set(lazy.term_stats())
+    assert as_set(saved.top_terms(3)) == as_set(lazy.top_terms(3))
+    assert [x.docfreq(t).first()["df"] for x in (lazy, saved) for t in ("d", "none")] == [sum("d" in t.split() for t in texts), 0] * 2
+    bags = [t.split() for t in texts]
+    want = sum(8 * len(set(b)) + 4 * len(b) + 4 for b in bags)
+    assert saved.memory_usage().first()[0] == lazy.memory_usage().first()[0] == want
+    assert len(saved) == len(texts)
+
+
+def test_one_document_and_all(random_texts):
+    texts, lazy, saved = random_texts
+    counts = SearchIndex.from_counts(lazy.docs.sparkSession.createDataFrame([(0, {"a": 3, "b": 1}), (1, None), (2, {"b": 1, "a": 3})], "doc_id bigint, counts map<string,int>"))
+    for index in (lazy, saved):
+        one = docs_ops.Terms.of(index, 0)
+        words = texts[0].split()
+        assert dict(one.terms()) == {t: words.count(t) for t in words} and one.doc_len == len(words) and len(one) == len(set(words))
+        assert one.positions("d") == [k for k, w in enumerate(words) if w == "d"] and one.termfreq("d") == words.count("d")
+        numbers = {t: k for k, t in enumerate("abcd")}
+        assert one.tf_to_dense(numbers) == [words.count(t) for t in "abcd"]
+        assert one.raw_positions(numbers, "d") == [(3, one.positions("d"))] and len(one.raw_positions(numbers)) == len(one)
+        assert {r["doc_id"]: list(r["terms"]) for r in docs_ops.each(index)} == {k: sorted(set(t.split())) for k, t in enumerate(texts)}
+        assert {(tuple(r["terms"]), r["doc_len"]) for r in docs_ops.unique(index).collect()} == {(tuple(sorted(set(t.split()))), len(t.split())) for t in texts}
+    assert column(docs_ops.factorize(counts), "code") == [0, -1, 0]
+    assert column(docs_ops.sort_documents(counts), "rank") == [2, 1, 3]
+
+
 def test_boolean_queries_and_results(spark, base):
     assert column(base.all_of(["foo", "bar"]), "doc_id") == list(range(0, 100, 4))
     assert len(base.at_least(["foo", "data3", "funny"], 1).collect()) == 75
@@ -206,5 +295,5 @@ def test_boolean_queries_and_results(spark, base):
     with pytest.raises(ValueError):
         found.all()
     found.insert(base.score("bar"), "bar")
-    found.insert(base.score("data2"), "data2")
+    found.search(base, "data2", "data2")
     assert [(r["query"], r["rank"], r["doc_id"]) for r in found.all().collect()] == [("bar", 1, 0), ("bar", 2, 4), ("data2", 1, 1), ("data2", 2, 5)]

@@ -23,11 +23,11 @@ def key(text):
 def test_texts_that_differ_after_eight_words(spark, folder):
     run = lambda name: QUERIES[name](spark, folder).collect()
     same = Counter(key(t) for t in ROWS.values() if t)
-    assert {(r["terms"], r["doc_len"]): r["n"] for r in run("value_counts_whole")} == same
+    assert {(r["terms"], r["doc_len"]): r["n"] for r in run("value_counts")} == same
     first = {k: min(d for d, t in ROWS.items() if key(t) == k) for k in same}
-    assert {r["doc_id"]: (r["code"], r["n"]) for r in run("factorize_whole")} == {d: (first[key(t)], same[key(t)]) if t else (-1, 0) for d, t in ROWS.items()}
+    assert {r["doc_id"]: (r["code"], r["n"]) for r in run("factorize")} == {d: (first[key(t)], same[key(t)]) if t else (-1, 0) for d, t in ROWS.items()}
     want = [(k, d, *key(ROWS.get(d, ""))) for k, d in enumerate([5, 3, 3, -1, 8])]
-    assert sorted(tuple(r) for r in run("take_rows_whole")) == want
+    assert sorted(tuple(r) for r in run("take_rows")) == want
 
 
 def test_order_by_what_follows_eight_words(spark, folder):
