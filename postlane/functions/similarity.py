@@ -23,18 +23,24 @@ def _saturation(tf: Column, dl: Column, avgdl: Column, k1: float, b: float) -> C
     return F.when((avgdl > 0) & (tf > 0), tf / (tf + norm)).otherwise(F.lit(0.0))
 
 
+def _positive(score: Similarity) -> Similarity:
+    """score, marked as one that gives a term that occurs more than 0, so that the best need no look at other documents."""
+    score.positive = True
+    return score
+
+
 def bm25(k1: float = 1.2, b: float = 0.75) -> Similarity:
-    return lambda tf, dfs, dl, avgdl, n: idf(dfs, n) * _saturation(tf, dl, avgdl, k1, b)
+    return _positive(lambda tf, dfs, dl, avgdl, n: idf(dfs, n) * _saturation(tf, dl, avgdl, k1, b))
 
 
 def bm25_impact(k1: float = 1.2, b: float = 0.75) -> Similarity:
     """What a word's frequency is worth, without how rare it is."""
-    return lambda tf, dfs, dl, avgdl, n: _saturation(tf, dl, avgdl, k1, b)
+    return _positive(lambda tf, dfs, dl, avgdl, n: _saturation(tf, dl, avgdl, k1, b))
 
 
 def bm25_legacy(k1: float = 1.2, b: float = 0.75) -> Similarity:
     """The older form, (k1 + 1) times as large."""
-    return lambda tf, dfs, dl, avgdl, n: idf(dfs, n) * _saturation(tf, dl, avgdl, k1, b) * F.lit(k1 + 1.0)
+    return _positive(lambda tf, dfs, dl, avgdl, n: idf(dfs, n) * _saturation(tf, dl, avgdl, k1, b) * F.lit(k1 + 1.0))
 
 
 def classic() -> Similarity:
@@ -45,7 +51,7 @@ def classic() -> Similarity:
         rare = F.log((n + 1.0) / (df + 1.0)) + 1.0
         return F.when(dl > 0, rare * F.sqrt(tf.cast("double")) / F.sqrt(dl.cast("double"))).otherwise(F.lit(0.0))
 
-    return score
+    return _positive(score)
 
 
 def from_callable(score: Callable[..., pd.Series]) -> Similarity:

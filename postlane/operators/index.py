@@ -183,31 +183,39 @@ class SearchIndex:
     def _places(self, terms: Sequence[str], min_posn: int | None, max_posn: int | None) -> tuple[DataFrame, list[Column]]:
         """A row for each document that has every term, with doc_len and a column of places for each.
 
-        Terms are joined one by one, in a saved index the rarest first: what is left is never more than the rarest's
-        documents. It is broadcast as long as the terms' counts bound it, so that no postings move at all; beyond that
-        it is a join like any other, by doc_id.
+        In a saved index the most frequent term's postings are streamed past those of the others, the rarest first.
+        Another term's postings are broadcast where their counts bound them; where only the rarest's do, the others
+        are cut to its documents first. Beyond that it is a join like any other, by doc_id.
         """
         distinct = list(dict.fromkeys(terms))
-        counts = None if self.terms is None else self._counts(distinct)
-        order = distinct if counts is None else sorted(distinct, key=lambda t: counts[t])
-        if counts is not None and not counts[order[0]][0]:
-            wide = self.postings.where(F.lit(False)).select("doc_id", "doc_len", *(F.col("posns").alias(f"p{k}") for k in range(len(distinct))))
-            return wide, [F.col(f"p{distinct.index(t)}") for t in terms]
-        wide, size = None, 0
-        for t in order:
-            places = F.col("posns")
+
+        def one(t: str, *more: str) -> DataFrame:
+            places, name = F.col("posns"), f"p{distinct.index(t)}"
             if min_posn is not None or max_posn is not None:
                 inside = lambda p: (p >= (min_posn or 0)) & (p <= (max_posn if max_posn is not None else 2**31 - 1))
                 places = F.filter(places, inside)
-            name = f"p{distinct.index(t)}"
-            one = self.postings.where(F.col("term") == t).select("doc_id", *(["doc_len"] if wide is None else []), places.alias(name)).where(F.size(name) > 0)
-            if wide is None:
-                wide = one
-            else:
-                small = counts is not None and size + 48 * counts[order[0]][0] <= BROADCAST_BYTES
-                wide = one.join(F.broadcast(wide) if small else wide, "doc_id")
-            if counts is not None:
-                size += 4 * counts[t][1]
+            return self.postings.where(F.col("term") == t).select("doc_id", *more, places.alias(name)).where(F.size(name) > 0)
+
+        if self.terms is None:
+            wide = one(distinct[0], "doc_len")
+            for t in distinct[1:]:
+                wide = wide.join(one(t), "doc_id")
+        else:
+            counts = self._counts(distinct)
+            order = sorted(distinct, key=lambda t: counts[t])
+            rarest, small = order[0], lambda df, cf: 48 * df + 4 * cf <= BROADCAST_BYTES
+            wide = one(order[-1], "doc_len")
+            if not counts[rarest][0]:
+                wide = wide.where(F.lit(False)).select("*", *(F.array().cast("array<int>").alias(f"p{distinct.index(t)}") for t in order[:-1]))
+                order = order[:1]
+            for t in order[:-1]:
+                side = one(t)
+                if small(*counts[t]):
+                    side = F.broadcast(side)
+                elif small(counts[rarest][0], 0):
+                    side = side.join(F.broadcast(one(rarest).select("doc_id")), "doc_id", "left_semi")
+                    side = F.broadcast(side) if small(counts[rarest][0], counts[t][1]) else side
+                wide = wide.join(side, "doc_id")
         return wide, [F.col(f"p{distinct.index(t)}") for t in terms]
 
     def _hits(self, terms: Sequence[str], slop: int, min_posn: int | None, max_posn: int | None) -> DataFrame:
@@ -261,12 +269,14 @@ class SearchIndex:
         """The n best (doc_id, score) of every document, ties by doc_id.
 
         Only matches are scored: beside the n best of them the n first of the other documents, which score 0, can be
-        among the best, and they are looked for only where fewer than n score above 0. Runs one job over the matches
-        and collects n rows.
+        among the best, and they are looked for only where fewer than n score above 0. That is known for a term of a
+        saved index that n documents have; else one job over the matches runs, which collects n rows.
         """
-        order = [F.desc("score"), F.asc("doc_id")]
+        terms, order = as_terms(token), [F.desc("score"), F.asc("doc_id")]
         hits = self.score(token, similarity, slop, min_posn, max_posn, sparse=True)
         best = hits.orderBy(*order).limit(n)
+        if self.terms is not None and len(terms) == 1 and min_posn is None and max_posn is None and getattr(similarity, "positive", False) and self._counts(terms)[terms[0]][0] >= n:
+            return best
         found = best.collect()
         if len(found) < n or not found[-1]["score"] > 0:
             rest = self.docs.select("doc_id").join(hits.select("doc_id"), "doc_id", "left_anti").orderBy("doc_id").limit(n)

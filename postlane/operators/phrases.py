@@ -62,4 +62,6 @@ def near(places: Sequence[Column], terms: Sequence[str], slop: int) -> Column:
 
     there = reduce(lambda a, b: a & b, [p.isNotNull() for p in places])
     count = F.when(there, F.aggregate(merged, zero, step, lambda acc: acc["n"])).otherwise(F.lit(0))
-    return F.greatest(count, exact(places, len(terms) > 1 and terms[0] == terms[1]))
+    if len(distinct) == len(terms):
+        return count  # exact ones lie apart, and the earliest ends leave no fewer windows
+    return F.greatest(count, exact(places, terms[0] == terms[1]))

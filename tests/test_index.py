@@ -214,10 +214,10 @@ def test_slop_frequencies_against_a_scan(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 80))) for _ in range(50)]
     index = SearchIndex.build(table(spark, texts))
-    for phrase in (["a", "b"], ["c", "a", "b"], ["a", "b", "a"], ["a", "a"], ["a", "a", "b", "b"]):
+    for phrase in (["c", "a", "b"], ["a", "b", "a"], ["a", "a"]):
         need = {t: phrase.count(t) for t in phrase}
         exact = column(index.termfreqs(phrase), "tf")
-        for slop in (1, 3, 9):
+        for slop in (1, 6):
             want = [near({t: [k for k, w in enumerate(x.split()) if w == t] for t in need}, need, len(phrase) - 1 + slop) for x in texts]
             want = [max(w, e) if all(t in x.split() for t in need) else 0 for w, e, x in zip(want, exact, texts)]
             assert column(index.termfreqs(phrase, slop=slop), "tf") == want
@@ -238,10 +238,10 @@ def test_saved_and_lazy_indexes_agree(random_texts, monkeypatch, most):
     """With everything small enough to be broadcast, and with nothing."""
     monkeypatch.setattr("postlane.operators.index.BROADCAST_BYTES", most)
     _, lazy, saved = random_texts
-    for token in ("a", "rare", "none", ["a", "b"], ["d", "c", "d"], ["rare", "a", "b"], ["b", "none"], ["d", "d"]):
-        for how in ({}, {"slop": 2}, {"min_posn": 18}):
-            a, b = (x.score(token, **how).join(x.termfreqs(token, **how), "doc_id").orderBy("doc_id").collect() for x in (lazy, saved))
-            assert a == b
+    cases = [("a", {}), ("none", {}), ("d", {"min_posn": 18}), (["rare", "a", "b"], {}), (["d", "c", "d"], {"min_posn": 18}), (["b", "none"], {}), (["d", "d"], {}), (["c", "d", "b"], {"slop": 2})]
+    for token, how in cases:
+        a, b = (x.score(token, **how).join(x.termfreqs(token, **how), "doc_id").orderBy("doc_id").collect() for x in (lazy, saved))
+        assert a == b
     for term in ("c", "none"):
         assert column(saved.positions(term), "posns") == column(lazy.positions(term), "posns")
     chosen = F.col("doc_id") % 3 == 1
@@ -251,11 +251,10 @@ def test_saved_and_lazy_indexes_agree(random_texts, monkeypatch, most):
 def test_the_best_are_those_of_all_scores(random_texts):
     _, lazy, saved = random_texts
     falling = lambda tf, dfs, dl, avgdl, n: F.lit(5.0) - tf
-    for token in ("a", "rare", "none", ["a", "b"]):
-        for similarity in (sim.bm25(), falling):
-            for n in (1, 5, 100):
-                want = top(lazy.score(token, similarity), n).collect()
-                assert saved.top(token, n, similarity).collect() == want == lazy.top(token, n, similarity).collect()
+    for token, similarity, n in (("d", sim.bm25(), 1), ("rare", sim.bm25(), 5), ("none", sim.bm25(), 2), (["c", "d"], sim.bm25(), 100), ("d", falling, 40), ("a", sim.classic(), 3)):
+        want = top(lazy.score(token, similarity), n).collect()
+        assert saved.top(token, n, similarity).collect() == want
+    assert lazy.top("rare", 5).collect() == top(lazy.score("rare"), 5).collect()
 
 
 def test_saved_counts_and_sizes(random_texts):
