@@ -2,36 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
+
+from postlane.operators.shared import folder as shared_folder, settle
 
 #: Bytes of text that the numpy kernels work on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a temporary one where it is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = getattr(spark, "_postlane_folder", None)
-        if not path:
-            path = spark._postlane_folder = "file://" + tempfile.mkdtemp(prefix="postlane-")
-    return path.rstrip("/")
-
-
-def settle(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as a table in the shared folder and read it from there."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def drop_table(df: DataFrame) -> None:
     """Remove the files of a table that settle() wrote, once nothing reads it any more."""
     spark = df.sparkSession
@@ -94,15 +76,29 @@ def uniform(*words: np.ndarray | int) -> np.ndarray:
     return (x >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def pick_rows(docs: DataFrame, most: int, *, salt: int = 0, columns: tuple[str, ...] = ("text",)) -> list:
-    """At most `most` rows, those with the least hash of doc_id: (doc_id, *columns), in the order of the hash.
+def pick_rows(docs: DataFrame, most: int, label: str, least: int, *, salt: int = 0) -> DataFrame:
+    """(doc_id, label, text) of about `most` labelled rows: of each label its share of them, but `least` at any rate, or all that there are.
 
-    Two passes: the ids alone are ranked first, so that no task sends texts that aren't taken.
+    doc_ids are counted by label, then picked by least hash of doc_id, so the same rows whatever the partitioning; of
+    rows that repeat a doc_id the one with the least hash of the text. Texts that aren't picked don't move, and there
+    are at most most + least * labels of those that are. Rows with a null in one of the three don't count. A doc_id is
+    of the least label it has.
     """
-    key = F.xxhash64(F.col("doc_id"), F.lit(salt))
-    ids = [r[0] for r in docs.where(F.col("doc_id").isNotNull()).select("doc_id", key.alias("__k")).orderBy("__k", "doc_id").limit(most).select("doc_id").collect()]
-    if not ids:
-        return []
-    rank = {x: k for k, x in enumerate(dict.fromkeys(ids))}
-    rows = docs.where(F.col("doc_id").isin(list(rank))).select("doc_id", *columns).collect()
-    return sorted(rows, key=lambda r: (rank[r[0]], *(str(x) for x in r[1:])))[:most]
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
+    sound = rows.where("doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
+    ids = sound.groupBy("doc_id").agg(F.min("label").alias("label"))
+    counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
+    whole = sum(counts.values())
+    want = {x: min(n, max(least, round(most * n / whole))) for x, n in counts.items()}
+    share = {x: 1.0 if want[x] == n else min(1.0, (want[x] + 8 * want[x] ** 0.5 + 20) / n) for x, n in counts.items()}  # a few more than wanted, to rank
+    if not counts:
+        return sound.select("doc_id", "label", "text")
+    few = docs.sparkSession.createDataFrame([(x, int(share[x] * (1 << 62)), want[x]) for x in sorted(counts)], "label string, below bigint, want bigint")
+    key = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit(salt)), 2)
+    near = ids.withColumn("key", key).join(F.broadcast(few), "label").where("key <= below")  # a row for each label
+    turn = F.row_number().over(Window.partitionBy("label").orderBy("key", "doc_id"))
+    chosen = near.withColumn("turn", turn).where("turn <= want").select("doc_id", "label")
+    taken = {r["doc_id"]: r["label"] for r in chosen.collect()}
+    picked = sound.where(F.col("doc_id").isin(list(taken)))
+    one = picked.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
+    return one.select("doc_id", "label", "text")

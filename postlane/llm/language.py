@@ -8,53 +8,100 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlane.llm.common import blocks, pick_rows, texts_of
-from postlane.llm.words import lower
+from postlane.llm.common import blocks, mix, pick_rows, texts_of
 
-#: Buckets that n-grams are hashed to, bytes in the longest n-gram, labelled rows that the model is fitted on at most.
-BUCKETS, LONGEST, SAMPLE = 1 << 15, 3, 2400
+#: Buckets that n-grams are hashed to, characters in the longest n-gram, labelled rows that the model is fitted on,
+#: and rows of each language at any rate: SAMPLE + LEAST for each language at most.
+BUCKETS, LONGEST, SAMPLE, LEAST = 1 << 15, 3, 2400, 150
 #: A text whose best language has less than this probability is rejected.
 MIN_CONFIDENCE = 0.5
-
-_LETTER = np.zeros(256, bool)
-_LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
-
-
-def ngram_counts(text: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(row, buckets, counts) of the n-grams of 1 to LONGEST bytes of each text that has letters.
-
-    Case is folded and all that isn't a letter reads as a space; an n-gram of spaces alone doesn't count.
+#: Characters of a text that are cut into n-grams at a time.
+_PIECE = 1 << 21
+
+_CODES = 1 << 16
+_IDEOGRAPHS = 0x20000  #: what of the characters beyond _CODES counts as letters begins here
+_LETTER = np.array([chr(c).isalpha() for c in range(_CODES)])
+_LOWER = np.array([ord(x) if len(x := chr(c).lower()) == 1 else c for c in range(_CODES)], np.uint32)
+
+
+def characters(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points of UTF-8 bytes, the texts' offsets among them)."""
+    lead = (raw & 0xC0) != 0x80
+    at = np.flatnonzero(lead)
+    first = raw[at].astype(np.uint32)
+    padded = np.r_[raw, np.zeros(3, np.uint8)]
+    code = first.copy()
+    for low, high, n, mask in ((0xC0, 0xE0, 1, 0x1F), (0xE0, 0xF0, 2, 0x0F), (0xF0, 0x100, 3, 0x07)):
+        some = np.flatnonzero((first >= low) & (first < high))
+        if len(some):
+            c = first[some] & mask
+            for j in range(1, n + 1):
+                c = c << 6 | (padded[at[some] + j] & 0x3F)
+            code[some] = c
+    return code, np.searchsorted(at, offsets)
+
+
+def _buckets(low: np.ndarray, letter: np.ndarray, text: np.ndarray, starts: int, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, bucket) of each n-gram that begins at the first `starts` characters, lies in one text and has a letter."""
+    texts, found = [], []
+    code = np.zeros(len(low), np.uint32)
+    with np.errstate(over="ignore"):
+        for n in range(1, LONGEST + 1):
+            m = len(low) - n + 1
+            if m <= 0:
+                break
+            code = code[:m] * np.uint32(0x01000193) + low[n - 1 :] + np.uint32(1)
+            some = letter[:m].copy()
+            for j in range(1, n):
+                some |= letter[j : j + m]
+            some &= text[:m] == text[n - 1 :]
+            some[starts:] = False
+            at = np.flatnonzero(some)
+            h = code[at] * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
+            h ^= h >> np.uint32(15)
+            h *= np.uint32(0x2C1B3C6D)
+            h ^= h >> np.uint32(13)
+            texts.append(text[at])
+            found.append(h & np.uint32(buckets - 1))
+    return np.concatenate(texts), np.concatenate(found)
+
+
+def ngram_counts(text: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Blocks of (first row, row after the last, row, bucket, count): the n-grams of 1 to LONGEST characters of each text, by row and bucket.
+
+    Case is folded and all that isn't a letter reads as a space; an n-gram of spaces alone doesn't count. One long
+    text is cut into pieces whose counts are summed.
     """
     for first, last, raw, offsets in blocks(text):
-        letter = _LETTER[raw]
-        low = np.where(letter, lower(raw), 32).astype(np.uint32)
-        code = np.zeros(len(low), np.uint32)
-        grams = []
-        with np.errstate(over="ignore"):
-            for n in range(1, LONGEST + 1):
-                code = code[: len(low) - n + 1] * np.uint32(257) + low[n - 1 :] + np.uint32(1)
-                some = letter[: len(code)].copy()
-                for j in range(1, n):
-                    some |= letter[j : j + len(code)]
-                h = code * np.uint32(0x9E3779B1) ^ np.uint32(n * 0x85EBCA6B & 0xFFFFFFFF)
-                h ^= h >> np.uint32(15)
-                h *= np.uint32(0x2C1B3C6D)
-                h ^= h >> np.uint32(13)
-                grams.append(np.where(some, h & np.uint32(buckets - 1), buckets).astype(np.int32))
-        for k in range(last - first):
-            a, b = offsets[k], offsets[k + 1]
-            count = np.bincount(np.concatenate([g[a : max(a, b - n)] for n, g in enumerate(grams)]), minlength=buckets + 1)[:buckets]
-            at = np.flatnonzero(count)
-            if len(at):
-                yield first + k, at, count[at]
+        code, at = characters(raw, offsets)
+        known = np.minimum(code, _CODES - 1)
+        letter = _LETTER[known] | (code >= _IDEOGRAPHS)
+        low = np.where(letter, np.where(code < _CODES, _LOWER[known], code), np.uint32(32))
+        of = np.repeat(np.arange(last - first, dtype=np.uint32), np.diff(at))
+        if last - first == 1:
+            n = np.zeros(buckets, np.int64)
+            for a in range(0, len(low), _PIECE):
+                part = slice(a, a + _PIECE + LONGEST - 1)
+                n += np.bincount(_buckets(low[part], letter[part], of[part], _PIECE, buckets)[1], minlength=buckets)
+            bucket = np.flatnonzero(n)
+            row, count = np.zeros(len(bucket), np.int64), n[bucket]
+        elif len(low):
+            row, bucket = _buckets(low, letter, of, len(low), buckets)
+            key = np.sort(row.astype(np.uint64) * np.uint64(buckets) + bucket)
+            cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+            count = np.diff(np.r_[cut, len(key)])
+            row, bucket = (x.astype(np.int64) for x in np.divmod(key[cut], np.uint64(buckets)))
+        else:
+            continue
+        yield first, last, first + row, bucket, count
 
 
 def _document_frequency(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(BUCKETS, np.int64), 0
     for b in batches:
-        for _, at, _ in ngram_counts(b.column(0)):
-            df[at] += 1
-            n += 1
+        for _, _, row, bucket, _ in ngram_counts(b.column(0)):
+            df += np.bincount(bucket, minlength=BUCKETS)
+            n += int((np.diff(row) > 0).sum()) + (len(row) > 0)
     at = np.flatnonzero(df)
     yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at].astype(np.int32)), pa.array(np.r_[n, df[at]])], ["bucket", "n"])
 
@@ -70,10 +117,12 @@ def inverse_document_frequency(docs: DataFrame) -> np.ndarray:
     return np.log((1 + n) / (1 + df)) + 1
 
 
-def _vectors(text: pa.Array, idf: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    for row, at, count in ngram_counts(text, len(idf)):
-        x = (1 + np.log(count)) * idf[at]
-        yield row, at, x / np.sqrt(x @ x)
+def vectors(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where each row begins, values of length 1 for each row)."""
+    start = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+    x = (1 + np.log(count)) * idf[bucket]
+    norm = np.sqrt(np.add.reduceat(x * x, start)) if len(start) else x
+    return start, x / np.repeat(norm, np.diff(np.r_[start, len(row)]))
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -89,12 +138,13 @@ class Model:
 
     def probabilities(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(rows that have letters, their probabilities)."""
-        rows, logits = [], []
-        for row, at, x in _vectors(text, self.idf):
-            rows.append(row)
-            logits.append(x @ self.weights[at])
-        z = np.array(logits).reshape(len(rows), len(self.classes))
-        return np.array(rows, np.int64), softmax(z / self.temperature)
+        rows, logits = [np.zeros(0, np.int64)], [np.zeros((0, len(self.classes)))]
+        for _, _, row, bucket, count in ngram_counts(text, len(self.idf)):
+            start, x = vectors(row, bucket, count, self.idf)
+            rows.append(row[start])
+            if len(start):
+                logits.append(np.stack([np.add.reduceat(x * w[bucket], start) for w in self.weights.T], axis=1))
+        return np.concatenate(rows), softmax(np.concatenate(logits) / self.temperature)
 
 
 def follow_the_regularised_leader(data: list[tuple[np.ndarray, np.ndarray, int]], classes: int, buckets: int, *, alpha: float = 1.0, beta: float = 1.0, l1: float = 0.02, l2: float = 0.01, epochs: int = 4, seed: int = 7) -> np.ndarray:
@@ -128,20 +178,34 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
     return float(np.exp((lo + hi) / 2))
 
 
-def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE) -> Model | None:
-    """Fit on at most `sample` rows that have a doc_id, a text and a label; every fourth row is kept for the temperature.
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The n-grams of each text in place of the text: at most BUCKETS numbers, however long it is."""
+    for b in batches:
+        found = [(np.zeros(0, np.uint16), np.zeros(0, np.float32))] * b.num_rows
+        for _, _, row, bucket, count in ngram_counts(b.column(2)):
+            cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]][: len(row)])
+            for a, z in zip(cut, np.r_[cut[1:], len(row)]):
+                found[row[a]] = bucket[a:z].astype(np.uint16), count[a:z].astype(np.float32)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))], ["doc_id", "label", "bucket", "count"])
+
+
+def train(docs: DataFrame, label: str = "lang", sample: int = SAMPLE, least: int = LEAST) -> Model | None:
+    """Fit on labelled rows, see pick_rows(); every fourth row of a label is kept for the temperature.
 
-    The idf counts all documents. None where no row can be used.
+    Every label that a row with a doc_id and a text has is a class. The idf counts all documents. None where no row
+    can be used.
     """
-    rows = pick_rows(docs.where(F.col("text").isNotNull() & F.col(label).isNotNull()), sample, columns=("text", label))
-    classes = sorted({str(r[2]) for r in rows})
+    picked = pick_rows(docs, sample, label, least).mapInArrow(_counted, "doc_id bigint, label string, bucket binary, count binary")
+    rows = sorted(picked.collect(), key=lambda r: (r["label"], int(mix(np.array([r["doc_id"]]))[0]), r["doc_id"]))
+    classes = sorted({r["label"] for r in rows})
     if not classes:
         return None
     idf = inverse_document_frequency(docs)
-    found = list(_vectors(pa.array([r[1] for r in rows], pa.string()), idf))
-    data = [(at, x, classes.index(str(rows[i][2]))) for i, at, x in found]
-    fit = [d for k, d in enumerate(data) if k % 4]
-    held = [d for k, d in enumerate(data) if not k % 4]
+    fit, held = [], []
+    for k, r in enumerate(rows):
+        bucket, count = np.frombuffer(r["bucket"], np.uint16).astype(np.int64), np.frombuffer(r["count"], np.float32)
+        if len(bucket):
+            (held if k % 4 == 0 else fit).append((bucket, vectors(np.zeros(len(bucket), np.int64), bucket, count, idf)[1], classes.index(r["label"])))
     weights = follow_the_regularised_leader(fit or held, len(classes), len(idf))
     logits = np.array([x @ weights[at] for at, x, _ in held]).reshape(len(held), len(classes))
     return Model(classes, weights.astype(np.float32), idf.astype(np.float32), temperature(logits, np.array([y for *_, y in held], int)))
