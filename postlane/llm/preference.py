@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from postlane.llm.common import blocks, mix, pick_rows, settle, texts_of, uniform
 from postlane.llm.words import ALNUM, Hasher, lower, spans
 
-#: Labelled rows that the model is fitted on at most, preferred documents that each other one is paired with, and
-#: documents of the sample that a word must occur in to be a feature.
-SAMPLE, PAIRS, LEAST_DOCS = 4000, 8, 4
+#: Labelled rows that the model is fitted on, rows of either kind at any rate, preferred documents that each other one
+#: is paired with, and documents of the sample that a word must occur in to be a feature.
+SAMPLE, LEAST, PAIRS, LEAST_DOCS = 4000, 400, 8, 4
 #: Bytes of the prefixes that are features beside whole words: inflected and compound words share them.
 PREFIXES = (5, 7)
 #: The share of preferred labelled documents that may fall under the threshold.
@@ -119,18 +119,27 @@ def bradley_terry(x: _Sparse, better: np.ndarray, worse: np.ndarray, *, l1: floa
     return w
 
 
-def fit(texts: list[str], preferred: np.ndarray, pairs: int = PAIRS, least_docs: int = LEAST_DOCS) -> Ranker | None:
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The shapes and the different words of each text in place of the text."""
+    hasher = Hasher()
+    for b in batches:
+        shapes, words = np.zeros((b.num_rows, len(SHAPES))), [b""] * b.num_rows
+        for first, last, shape, row, h in features(b.column(2), hasher):
+            shapes[first:last] = shape
+            row, h = _once(row, h)
+            order = np.argsort(row, kind="stable")
+            row, h = row[order], h[order]
+            for k, (a, z) in enumerate(zip(*(np.searchsorted(row, np.arange(first, last), s) for s in ("left", "right"))), first):
+                words[k] = np.sort(h[a:z]).tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([x.tobytes() for x in shapes], pa.binary()), pa.array(words, pa.binary())], ["doc_id", "label", "shape", "words"])
+
+
+def fit(shapes: np.ndarray, words_of: list[np.ndarray], preferred: np.ndarray, pairs: int = PAIRS, least_docs: int = LEAST_DOCS) -> Ranker | None:
     """Pair each document that isn't preferred with `pairs` that are, and learn; None where one kind is missing."""
     good, bad = np.flatnonzero(preferred), np.flatnonzero(~preferred)
     if not len(good) or not len(bad):
         return None
-    shapes, rows, hashes = np.zeros((len(texts), len(SHAPES))), [], []
-    for first, last, shape, row, h in features(pa.array(texts, pa.string())):
-        shapes[first:last] = shape
-        row, h = _once(row, h)
-        rows.append(row.astype(np.int32))
-        hashes.append(h)
-    row, h = np.concatenate(rows), np.concatenate(hashes)
+    row, h = np.repeat(np.arange(len(words_of), dtype=np.int32), [len(x) for x in words_of]), np.concatenate(words_of)
     words, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
     common = n >= least_docs
     column = np.cumsum(common) - 1
@@ -144,18 +153,22 @@ def fit(texts: list[str], preferred: np.ndarray, pairs: int = PAIRS, least_docs:
     return Ranker(mean, spread, w[: len(SHAPES)], words[common][ww != 0], ww[ww != 0])
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Ranker | None:
-    """Fit on at most `sample` labelled documents; those of quality 1 that aren't toxic are preferred to the others."""
-    both = _labelled(docs.select("doc_id", "text").where(F.col("text").isNotNull()), labels)
-    rows = pick_rows(both, sample, columns=("text", "preferred"))
-    return fit([r[1] for r in rows], np.array([bool(r[2]) for r in rows], bool)) if rows else None
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, least: int = LEAST) -> Ranker | None:
+    """Fit on labelled documents, see pick_rows(); those of quality 1 that aren't toxic are preferred to the others. The driver gets the sample's features, 8 bytes for each different word or prefix of a document."""
+    both = _labelled(docs.select("doc_id", "text"), labels)
+    picked = pick_rows(both, sample, "preferred", least).mapInArrow(_featured, "doc_id bigint, label string, shape binary, words binary")
+    rows = sorted(picked.collect(), key=lambda r: r["doc_id"])
+    if not rows:
+        return None
+    shapes = np.stack([np.frombuffer(r["shape"]) for r in rows])
+    return fit(shapes, [np.frombuffer(r["words"], np.uint64) for r in rows], np.array([r["label"] == "true" for r in rows], bool))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with `preferred`; several labels of a document must all prefer it; labels with a null don't count."""
     sound = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL")
-    one = sound.groupBy(F.col("doc_id").cast("bigint").alias("__id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("preferred"))
-    return docs.join(one, docs["doc_id"] == one["__id"]).drop("__id")
+    one = sound.groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("preferred"))
+    return docs.join(one, "doc_id")
 
 
 def _score(ranker: Ranker | None):

@@ -26,6 +26,20 @@ def corpus(spark):
     return table(spark, docs), table(spark, labels, "doc_id bigint, quality int, toxic int")
 
 
+def featured(texts):
+    (b,) = preference._featured(iter([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([""] * len(texts)), pa.array(texts, pa.string())], ["doc_id", "label", "text"])]))
+    return np.stack([np.frombuffer(x) for x in b.column(2).to_pylist()]), [np.frombuffer(x, np.uint64) for x in b.column(3).to_pylist()]
+
+
+def test_features_of_each_text_apart():
+    texts = ["moron trash the the", None, "", "The end, of it all"] * 2
+    shapes, words = featured(texts)
+    for k, t in enumerate(texts):
+        one, w = featured([t])
+        assert shapes[k] == pytest.approx(one[0]) and words[k].tolist() == w[0].tolist() == sorted(set(w[0].tolist()))
+    assert [len(w) for w in words[:4]] == [3, 0, 0, 5]
+
+
 def test_held_out_documents(spark, corpus):
     docs, labels = corpus
     rows = preference.classify(docs, labels.where("doc_id < 450")).where("doc_id >= 450").join(labels, "doc_id").collect()
@@ -60,7 +74,8 @@ def test_learning_ends_where_the_penalised_loss_has_no_slope():
 
 def test_scores_are_those_of_the_features_one_by_one():
     texts = ["The moron; the end", "", None, "a a a b!", "Zusammengehörigkeit zusammen"]
-    ranker = preference.fit(["moron trash the", "the end of it all", "moron the", "end it the"] * 5, np.array([False, True, False, True] * 5))
+    shapes, words = featured(["moron trash the", "the end of it all", "moron the", "end it the"] * 5)
+    ranker = preference.fit(shapes, words, np.array([False, True, False, True] * 5))
     together = ranker.scores(pa.array(texts))
     assert together == pytest.approx([ranker.scores(pa.array([t], pa.string()))[0] for t in texts])
     assert together[0] < ranker.scores(pa.array(["The end; the end"]))[0]
