@@ -364,12 +364,13 @@ def find(text: pa.Array, field: Field) -> Iterator[tuple[int, int, int]]:
 def _scan(field: Field):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows, begins, ends, values, text, held = [], [], [], [], b"", -1
+            rows, begins, ends, values, text, held, seen, chars = [], [], [], [], b"", -1, 0, 0
             for row, begin, end in find(b.column(1), field):
                 if row != held:
-                    text, held = b.column(1)[row].as_py().encode(), row
+                    text, held, seen, chars = b.column(1)[row].as_py().encode(), row, 0, 0
+                chars, seen = chars + len(text[seen:begin].decode()), begin  # they come in order: what lies between is read once
                 rows.append(row)
-                begins.append(len(text[:begin].decode()))
+                begins.append(chars)
                 values.append(text[begin:end].decode("utf8", "replace"))
                 ends.append(begins[-1] + len(values[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(begins, pa.int32()), pa.array(ends, pa.int32()), pa.array(values, pa.string())], ["doc_id", "begin", "end", "secret"])
@@ -402,10 +403,11 @@ def redact(docs: DataFrame, field: Field | None = None, mask: str = MASK) -> Dat
                 text = columns[at].to_pylist()
                 size = columns[names.index("n_chars")].to_pylist() if "n_chars" in names else None
                 for row, places in found.items():
-                    raw = text[row].encode()
-                    for begin, end in reversed(places):
-                        raw = raw[:begin] + mask.encode() + raw[end:]
-                    text[row] = raw.decode()
+                    raw, parts, at_byte = text[row].encode(), [], 0
+                    for begin, end in places:
+                        parts += [raw[at_byte:begin], mask.encode()]
+                        at_byte = end
+                    text[row] = b"".join([*parts, raw[at_byte:]]).decode()
                     if size is not None:
                         size[row] = len(text[row])
                 columns[at] = pa.array(text, columns[at].type)
