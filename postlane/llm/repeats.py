@@ -8,98 +8,180 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlane.llm.common import blocks, texts_of
+from postlane.llm.common import blocks, mix, texts_of
 from postlane.llm.words import NOT_SPACE, Hasher, grams, lower, sliding_min, spans
 
 #: Words that a passage has at least, and words of the k-mer that decides which shard a suffix goes to.
 MIN_WORDS, ANCHOR = 50, 8
-#: Suffixes of a batch: what is sorted at once, and the size of the least level.
-BATCH = 1 << 18
+#: Suffixes of a batch: what is sorted at once, and the size of the least level. Suffixes whose words are laid out at once.
+BATCH, CHUNK = 1 << 18, 1 << 16
 
-_SIX = 6
 _NONE = np.iinfo(np.int64).min
-_RECORD = "anchor bigint, doc_id bigint, start int, n int, suffixes binary"
+_RECORD = "anchor bigint, doc_id bigint, start int, n int, words binary"
+
+
+def _starts(head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(where runs begin, how long they are) of marks of their first places."""
+    start = np.flatnonzero(head)
+    return start, np.diff(np.r_[start, len(head)])
+
+
+class Level:
+    """A suffix array: places of words in `pool` in the order of the first `width` words from there, with document, place and a second document that has them.
+
+    Words are 32-bit codes, the more significant byte first, so that their order is that of their bytes. head marks
+    the first of the suffixes that agree in all `width` words. Of suffixes that two documents have, the first alone is
+    held, which is the least document's; `second` is the next document, or none.
+    """
+
+    def __init__(self, width: int, pool: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, second: np.ndarray, head: np.ndarray) -> None:
+        start, size = _starts(head)
+        keep = np.ones(len(at), bool)
+        if len(start):
+            # a later document of a run: the first row whose document isn't the first one's
+            first = np.repeat(doc[start], size)
+            other = np.flatnonzero(doc != first)
+            run = np.repeat(np.arange(len(start)), size)
+            late, by = np.unique(run[other], return_index=True)
+            lacks = second[start[late]] == _NONE
+            second = second.copy()
+            second[start[late[lacks]]] = doc[other[by[lacks]]]
+            keep = np.repeat(second[start] == _NONE, size)
+            keep[start] = True
+        at, self.doc, self.place, self.second, self.head = at[keep], doc[keep], place[keep], second[keep], head[keep]
+        cover = np.zeros(len(pool) + 1, np.int32)  # words that no suffix held needs any more go
+        np.add.at(cover, at, 1)
+        np.add.at(cover, at + width, -1)
+        used = np.cumsum(cover[:-1]) > 0
+        self.pool, self.at, self.width = pool[used], (np.cumsum(used) - 1)[at], width
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def keys(self, rows: slice | np.ndarray) -> np.ndarray:
+        return laid_out(self.pool, self.at[rows], self.width)
+
+    def find(self, keys: np.ndarray, begin: int = 0, after: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Scan from row `begin` for sorted keys: (rows before which each belongs, or after equal ones, and whether one is equal)."""
+        at, same = np.full(len(keys), len(self)), np.zeros(len(keys), bool)
+        done, before = 0, None
+        for first in range(begin, len(self), CHUNK):
+            if done == len(keys):
+                break
+            chunk = self.keys(slice(first, first + CHUNK))
+            last = int(np.searchsorted(keys, chunk[-1], "left" if after else "right"))
+            if first + CHUNK >= len(self):
+                last = len(keys)
+            mine = keys[done:last]
+            row = np.searchsorted(chunk, mine, "right" if after else "left")
+            at[done:last] = first + row
+            if after:
+                same[done:last] = np.where(row > 0, chunk[np.maximum(row - 1, 0)] == mine, False if before is None else before == mine)
+            else:
+                same[done:last] = (row < len(chunk)) & (chunk[np.minimum(row, len(chunk) - 1)] == mine)
+            done, before = last, chunk[-1]
+        return at, same
+
+    def merge(self, other: Level) -> Level:
+        """One level of both, by a scan of both; equal suffixes of this one come first."""
+        into, same, begin = [], [], 0
+        for first in range(0, len(other), CHUNK):
+            at, eq = self.find(other.keys(slice(first, first + CHUNK)), max(begin - 1, 0), after=True)
+            into.append(at)
+            same.append(eq)
+            begin = int(at[-1])
+        to = np.concatenate([*into, np.zeros(0, np.int64)]) + np.arange(len(other))
+        own = np.ones(len(self) + len(other), bool)
+        own[to] = False
+
+        def both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            out = np.empty(len(own), x.dtype)
+            out[own], out[to] = x, y
+            return out
+
+        head = both(self.head, other.head & ~np.concatenate([*same, np.zeros(0, bool)]))
+        return Level(self.width, joined([self.pool, other.pool]), both(self.at, other.at + len(self.pool)), both(self.doc, other.doc), both(self.place, other.place), both(self.second, other.second), head)
+
+
+def joined(pools: list[np.ndarray]) -> np.ndarray:
+    return np.concatenate(pools).astype(">u4", copy=False)  # numpy turns bytes round as it joins
+
+
+def laid_out(pool: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
+    """The bytes of `width` words from each place of the pool."""
+    if not len(at):
+        return np.zeros(0, f"S{4 * width}")
+    return np.ndarray((len(pool) - width + 1,), f"S{4 * width}", buffer=np.ascontiguousarray(pool), strides=(4,))[at]
+
+
+def group_of(keys: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit number of each suffix's words."""
+    words = keys.view(">u4").reshape(-1, width)
+    out = np.zeros(len(keys), np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(width):
+            out = out * np.uint64(0xD6E8FEB86659FD93) + words[:, k].astype(np.uint64) + np.uint64(1)
+    return mix(out)
 
 
 class SuffixFamily:
-    """Suffix arrays of geometrically growing size, each of suffixes cut at the depth that counts as a long match.
+    """Suffix arrays of geometrically growing size.
 
-    A suffix is a 64-bit fingerprint of its first min_words words: equal depths are neighbours in any order of
-    fingerprints, and fingerprints, unlike ranks, compare between arrays. A level holds suffixes in that order, with
-    their document, place and a second document that has them, or none; of those with a second one, only one is held.
-    add() sorts a batch, merges it in a scan with each level to find long matches, then stacks it as a new level and
-    merges levels while the last is no smaller than the one before: n batches cost n log n.
+    add() sorts a batch's suffixes, scans each level for those that agree in `width` words, stacks the batch as a new
+    level and merges levels while the last is no smaller than the one before: n batches cost n log n. Documents must
+    come in order, so that a suffix's least documents are known from the first batches that have it.
     """
 
-    def __init__(self) -> None:
-        self.levels: list[tuple[np.ndarray, ...]] = []
-
-    @staticmethod
-    def _level(key: np.ndarray, doc: np.ndarray, place: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, ...]:
-        start = _starts(key)
-        if not len(start):
-            return key, doc, place, second
-        low, high = np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)
-        other = np.maximum.reduceat(second, start)
-        matched = (other != _NONE) | (low != high)
-        keep = np.repeat(~matched, np.diff(np.r_[start, len(key)]))
-        keep[start] = True
-        second = second.copy()
-        at = start[matched]
-        own, best = doc[at], other[matched]
-        best = np.where((best != _NONE) & (best != own), best, np.where(low[matched] != own, low[matched], high[matched]))
-        second[at] = best
-        return key[keep], doc[keep], place[keep], second[keep]
-
-    def add(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(document, place, other document) of the suffixes of this batch, and of earlier ones first matched by it, that another document has too."""
-        return self.find(key, doc, place)[:3]
-
-    def find(self, key: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
-        """What add() gives, and the suffixes' fingerprints: whichever batches they come in, all documents that share a suffix are given with it."""
-        order = np.lexsort((place, doc, key))
-        key, doc, place = key[order], doc[order], place[order]
-        partner = np.full(len(key), _NONE)
+    def __init__(self, width: int) -> None:
+        self.width, self.levels = width, []
+
+    def add(self, pool: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(document, place, least other document, number of the words) of the suffixes of this batch, and of earlier ones first matched by it, that another document has too."""
+        order = np.lexsort((place, doc))
+        at, doc, place = at[order], doc[order], place[order]
+        keys = laid_out(pool, at, self.width)
+        order = np.argsort(keys, kind="stable")
+        keys, at, doc, place = keys[order], at[order], doc[order], place[order]
+        partner = np.full(len(keys), _NONE)
         late: list[tuple[np.ndarray, ...]] = []
-        for lk, ld, lp, second in self.levels:
-            at = np.searchsorted(lk, key)
-            hit = np.flatnonzero((at < len(lk)) & (lk[np.minimum(at, len(lk) - 1)] == key))
-            to = at[hit]
-            other = np.where(ld[to] != doc[hit], ld[to], second[to])
+        for level in self.levels:
+            to, same = level.find(keys)
+            hit = np.flatnonzero(same)
+            to = to[hit]
+            other = np.where(level.doc[to] != doc[hit], level.doc[to], level.second[to])
             partner[hit] = np.where(partner[hit] == _NONE, other, partner[hit])
-            fresh = np.flatnonzero((second[to] == _NONE) & (ld[to] != doc[hit]))
+            fresh = np.flatnonzero((level.second[to] == _NONE) & (level.doc[to] != doc[hit]))
             once, back = np.unique(to[fresh], return_index=True)
-            by = doc[hit[fresh[back]]]
-            size = np.searchsorted(lk, lk[once], "right") - once
+            start, size = _starts(level.head)
+            size = size[np.searchsorted(start, once)] if len(once) else once
             rows = np.repeat(once, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            second[rows] = np.repeat(by, size)
-            late.append((ld[rows], lp[rows], second[rows], lk[rows]))
-        start = _starts(key)
-        size = np.diff(np.r_[start, len(key)])
-        if len(start):
-            low, high = np.repeat(doc[start], size), np.repeat(doc[start + size - 1], size)
-            within = (low != high) & (partner == _NONE)
-            partner[within] = np.where(doc[within] == low[within], high[within], low[within])
-        self.levels.append(self._level(key, doc, place, partner))
-        while len(self.levels) > 1 and len(self.levels[-1][0]) >= len(self.levels[-2][0]):
-            a, b = self.levels.pop(-2), self.levels.pop()
-            both = [np.concatenate(x) for x in zip(a, b)]
-            order = np.argsort(both[0], kind="stable")  # two sorted runs: a merge
-            self.levels.append(self._level(*(x[order] for x in both)))
+            level.second[rows] = np.repeat(doc[hit[fresh[back]]], size)
+            late.append((level.doc[rows], level.place[rows], level.second[rows], group_of(level.keys(rows), self.width)))
+        head = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        start, size = _starts(head)
+        first = np.repeat(doc[start], size)
+        run = np.repeat(np.arange(len(start)), size)
+        others = np.flatnonzero(doc != first)
+        some, by = np.unique(run[others], return_index=True)
+        next_ = np.full(len(start), _NONE)
+        next_[some] = doc[others[by]]
+        lone = partner == _NONE
+        partner[lone] = np.where(doc[lone] == first[lone], next_[run[lone]], first[lone])
+        self.levels.append(Level(self.width, pool, at, doc, place, partner, head))
+        while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
+            newer = self.levels.pop()
+            self.levels.append(self.levels.pop().merge(newer))
         found = np.flatnonzero(partner != _NONE)
-        out = [(doc[found], place[found], partner[found], key[found]), *late]
+        out = [(doc[found], place[found], partner[found], group_of(keys[found], self.width)), *late]
         return tuple(np.concatenate(x) for x in zip(*out))
 
 
-def _starts(key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-
-
 def suffix_records(text: pa.Array, min_words: int, anchor: int, hasher: Hasher) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Blocks of (row, anchor hash, first place, suffixes, 48-bit fingerprints, concatenated).
+    """Blocks of (row, anchor hash, first place, suffixes, words of each record, concatenated).
 
     The suffixes whose first min_words words have the same least k-mer at the same place lie in a row and make one
-    record: wherever those words occur again, they have the same anchor, so its hash serves as the shard.
+    record, with the words that they need: wherever those words occur again, they have the same anchor, so its hash
+    serves as the shard. A word is 32 bits of its hash.
     """
     for first, _, raw, offsets in blocks(text):
         low = lower(raw)
@@ -116,29 +198,31 @@ def suffix_records(text: pa.Array, min_words: int, anchor: int, hasher: Hasher)
         if not len(ok):
             continue
         at = (at[ok] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
-        window = grams(h, min_words)[ok]
         cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (ok[1:] != ok[:-1] + 1)])
-        six = np.ascontiguousarray(window.view(np.uint8).reshape(-1, 8)[:, :_SIX])
-        yield first + of[ok[cut]], inner[at[cut]], place[ok[cut]], np.diff(np.r_[cut, len(ok)]), six
+        n = np.diff(np.r_[cut, len(ok)])
+        size = n + min_words - 1
+        words = (h >> np.uint64(32)).astype(">u4")[np.repeat(ok[cut], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)]
+        yield first + of[ok[cut]], inner[at[cut]], place[ok[cut]], n, words
 
 
 def _records(min_words: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher()
         for b in batches:
-            for row, key, place, n, six in suffix_records(b.column(1), min_words, anchor, hasher):
-                at = np.r_[0, np.cumsum(n * _SIX)].astype(np.int32)
-                blob = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(at), pa.py_buffer(six)])
-                arrays = [pa.array(key.view(np.int64)), b.column(0).take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32)), blob]
-                whole = pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "start", "n", "suffixes"])
-                for part in range(0, whole.num_rows, 20000):
-                    yield whole.slice(part, 20000)
+            for row, key, place, n, words in suffix_records(b.column(1), min_words, anchor, hasher):
+                end = np.cumsum((n + min_words - 1) * 4)
+                for a in range(0, len(n), 10000):
+                    part = slice(a, a + 10000)
+                    at = np.r_[end[a - 1] if a else 0, end[part]]
+                    blob = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer((at - at[0]).astype(np.int32)), pa.py_buffer(words[at[0] // 4 : at[-1] // 4])])
+                    arrays = [pa.array(key[part].view(np.int64)), b.column(0).take(pa.array(row[part])), pa.array(place[part].astype(np.int32)), pa.array(n[part].astype(np.int32)), blob]
+                    yield pa.RecordBatch.from_arrays(arrays, ["anchor", "doc_id", "start", "n", "words"])
 
     return run
 
 
 def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
-    """Neighbouring suffixes of a document as one row each: first and last place, the least of the documents met, the suffixes' fingerprints."""
+    """Neighbouring suffixes of a document as one row each: first and last place, the least of the documents met, the numbers of the suffixes' words."""
     order = np.lexsort((place, doc))
     doc, place, partner, key = doc[order], place[order], partner[order], key[order]
     cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (place[1:] > place[:-1] + 1)][: len(doc)])
@@ -148,55 +232,61 @@ def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray, key: np.ndarr
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "first", "last", "partner", "groups"])
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    family = SuffixFamily()
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def flush() -> pa.RecordBatch:
-        key, doc, place = (np.concatenate(x) for x in zip(*held))
-        held.clear()
-        return _runs(*family.find(key, doc, place))
-
-    count = 0
-    for b in batches:
-        anchor, doc, start, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-        blob = b.column(4)
-        at = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1]
-        six = np.frombuffer(blob.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, _SIX)
-        key = np.zeros((len(six), 8), np.uint8)
-        key[:, :_SIX] = six
-        row = np.repeat(np.arange(len(n)), n)
-        with np.errstate(over="ignore"):
-            full = key.view(np.uint64).ravel() * np.uint64(0x9E3779B97F4A7C15) ^ anchor.view(np.uint64)[row]
-        held.append((full, doc[row], start[row].astype(np.int64) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)))
-        count += len(row)
-        if count >= BATCH:
+def _scan(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        family = SuffixFamily(min_words)
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush() -> pa.RecordBatch:
+            shift = np.cumsum([0, *(len(x[0]) for x in held)])
+            at = np.concatenate([x[1] + k for x, k in zip(held, shift)])
+            pool = joined([x[0] for x in held])
+            doc, place = (np.concatenate([x[k] for x in held]) for k in (2, 3))
+            held.clear()
+            return _runs(*family.add(pool, at, doc, place))
+
+        count = 0
+        for b in batches:
+            doc, start, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 4))
+            blob = b.column(4)
+            ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
+            for part in range(0, len(n), 4096):
+                m = n[part : part + 4096].astype(np.int64)
+                a = ends[part : part + len(m) + 1]
+                pool = np.frombuffer(blob.buffers()[2], ">u4", (a[-1] - a[0]) // 4, a[0])
+                row = np.repeat(np.arange(len(m)), m)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+                held.append((pool, (a[row] - a[0]) // 4 + step, doc[part : part + len(m)][row], start[part : part + len(m)][row].astype(np.int64) + step))
+                count += len(row)
+                if count >= BATCH:
+                    yield flush()
+                    count = 0
+        if held:
             yield flush()
-            count = 0
-    if held:
-        yield flush()
+
+    return run
 
 
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, start_word, n_words, partner, groups): the stretches of each document whose every word lies in min_words words that another document has too.
 
-    partner is one document that has a run of the stretch, the least where the family meets it first. groups has the
-    fingerprint of every min_words words in the stretch that another document has, in order and each once: the
-    documents that share words with a stretch are exactly those with a stretch that has one of its groups. Words lie between white space and are compared in
-    lower case. Repeats inside one document alone don't count. Rows that repeat a doc_id are one document. Rows without
-    a doc_id and texts that are null, empty or shorter than min_words have no passages. Texts are used whole; no
-    documents, no rows. Every suffix is a query and every suffix is indexed: nothing is sampled, and two stretches
-    count as equal when two fingerprints, of 64 bits of the anchor and 48 of all min_words words, are.
+    partner is the least other document that has min_words words of the stretch. groups has the number of every
+    min_words words in the stretch that another document has, in order and each once: the documents that share words
+    with a stretch are exactly those with a stretch that has one of its groups. Words lie between white space and are
+    compared in lower case, as 32 bits of a hash each: stretches count as equal where all min_words of these are.
+    Repeats inside one document alone don't count. Rows that repeat a doc_id are one document. Rows without a doc_id
+    and texts that are null, empty or shorter than min_words have no passages. Texts are used whole; no documents, no
+    rows. Every suffix is a query and every suffix is indexed: nothing is sampled.
 
-    One shuffle, by anchor, of six bytes a word; a shard streams through its family in batches and holds each distinct
-    suffix once, so a passage that a million documents share takes the room of one.
+    One shuffle, by anchor, of about 13 bytes a word; a shard streams through its family in batches and holds each
+    distinct suffix once, so a passage that a million documents share takes the room of one.
     """
     if not 0 < anchor <= min_words:
         raise ValueError("0 < anchor <= min_words is needed")
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     records = texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_records(min_words, anchor), _RECORD)
-    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan, "doc_id bigint, first int, last int, partner bigint, groups array<bigint>")
+    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan(min_words), "doc_id bigint, first int, last int, partner bigint, groups array<bigint>")
     w = Window.partitionBy("doc_id").orderBy("first", "last")
     before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = F.when(F.col("first") > before + min_words, 1).when(before.isNull(), 1).otherwise(0)
@@ -206,7 +296,7 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
-    """shared_passages() without the groups: every stretch, with one partner of those it may have."""
+    """shared_passages() without the groups: every stretch, with the least partner of those it may have."""
     return shared_passages(docs, min_words, anchor).drop("groups")
 
 

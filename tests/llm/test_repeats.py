@@ -31,7 +31,14 @@ def check(spark, texts, w, anchor):
         got.setdefault(r["doc_id"], set()).update(places)
     want, others = brute({d: t.lower().split() for d, t in texts.items()}, w)
     assert got == want
-    assert all(r["partner"] in others[r["doc_id"]] for r in rows)
+    low = {d: t.lower().split() for d, t in texts.items()}
+    seen = {}
+    for d, words in low.items():
+        for k in range(len(words) - w + 1):
+            seen.setdefault(tuple(words[k : k + w]), set()).add(d)
+    for r in rows:
+        d, first = r["doc_id"], r["start_word"]
+        assert r["partner"] == min(x for k in range(first, first + r["n_words"] - w + 1) for x in seen[tuple(low[d][k : k + w])] - {d})
 
 
 def test_against_all_windows(spark):
@@ -50,18 +57,50 @@ def test_fifty_words_and_no_fewer(spark):
     assert rows == {0: (1, 50, 1), 1: (1, 50, 0)}
 
 
-def test_the_family_against_one_sort(spark):
-    r = np.random.default_rng(0)
-    key, doc, place = r.integers(0, 400, 3000).astype(np.uint64), r.integers(-5, 40, 3000), np.arange(3000)
-    family, found = repeats.SuffixFamily(), set()
-    for at in range(0, 3000, 130):
-        d, p, other = family.add(key[at : at + 130], doc[at : at + 130], place[at : at + 130])
-        found |= set(zip(d.tolist(), p.tolist()))
-        assert (d != other).all()
-    sizes = [len(x[0]) for x in family.levels]
-    assert all(a > b for a, b in zip(sizes, sizes[1:])) and len(sizes) <= 6
-    docs_of = {k: set(doc[key == k].tolist()) for k in set(key.tolist())}
-    assert found == {(int(doc[k]), k) for k in range(3000) if len(docs_of[int(key[k])]) > 1}
+def batches_of(rows, w, size):
+    """Batches (pool, at, doc, place) of (doc, words) in order of documents, some with their suffixes split between batches."""
+    flat = [(d, k, words[k : k + w]) for d, words in rows for k in range(len(words) - w + 1)]
+    for a in range(0, len(flat), size):
+        part = flat[a : a + size]
+        pool = np.array([x for _, _, words in part for x in words], ">u4")
+        yield pool, np.arange(len(part)) * w, np.array([d for d, *_ in part]), np.array([k for _, k, _ in part])
+
+
+def test_the_family_against_all_pairs(monkeypatch):
+    r, w = random.Random(0), 4
+    rows = [(d - 20, [r.choice((0, 1, 1 << 24, 255, 1 << 31)) for _ in range(r.randint(0, 30))]) for d in range(60)]
+    rows[7:9] = [(rows[7][0], [5] * 20), (rows[8][0], [5] * 9 + [6])]
+    seen = {}
+    for d, words in rows:
+        for k in range(len(words) - w + 1):
+            seen.setdefault(tuple(words[k : k + w]), {}).setdefault(d, []).append(k)
+    want = {(d, k): min(x for x in docs if x != d) for docs in seen.values() if len(docs) > 1 for d, places in docs.items() for k in places}
+    for size, chunk in ((1, 3), (17, 1), (17, 5), (100, 1 << 16), (10_000, 4)):
+        monkeypatch.setattr(repeats, "CHUNK", chunk)
+        family, found, of = repeats.SuffixFamily(w), {}, {}
+        for pool, at, doc, place in batches_of(rows, w, size):
+            for d, k, other, group in zip(*(x.tolist() for x in family.add(pool, at, doc, place))):
+                assert (d, k) not in found
+                found[d, k] = other
+                of.setdefault(group, set()).add((d, k))
+        assert found == want
+        assert sorted(map(sorted, of.values())) == sorted(sorted((d, k) for d, places in docs.items() for k in places) for docs in seen.values() if len(docs) > 1)
+        sizes = [len(x) for x in family.levels]
+        assert all(a > b for a, b in zip(sizes, sizes[1:]))
+        for level in family.levels:
+            keys = level.keys(slice(None))
+            assert (keys[1:] >= keys[:-1]).all() and (level.head[1:] == (keys[1:] != keys[:-1])).all()
+            words = keys.view(">u4").reshape(-1, w).tolist()
+            text = dict(rows)
+            assert all(text[d][k : k + w] == x for d, k, x in zip(level.doc.tolist(), level.place.tolist(), words))
+            assert len(level.pool) <= w * len(level)
+
+
+def test_a_passage_that_all_share_takes_the_room_of_one():
+    family, words = repeats.SuffixFamily(50), np.arange(80, dtype=">u4")
+    for d in range(0, 3000, 100):
+        family.add(np.tile(words, 100), (np.arange(100)[:, None] * 80 + np.arange(31)).ravel(), np.repeat(np.arange(d, d + 100), 31), np.tile(np.arange(31), 100))
+    assert sum(map(len, family.levels)) == 31 and sum(len(x.pool) for x in family.levels) == 80
 
 
 def test_odd_tables(ugly, nothing):
@@ -89,12 +128,3 @@ def test_every_pair_follows_from_the_groups(spark):
         for g in x["groups"]:
             of.setdefault(g, set()).add(x["doc_id"])
     assert {(a, b) for docs in of.values() for a in docs for b in docs if a != b} == want
-
-
-def test_batches_keep_every_pair():
-    family, of = repeats.SuffixFamily(), {}
-    for batch in ([(7, 3, 0), (7, 4, 0)], [(7, 1, 100), (8, 1, 101)], [(8, 2, 5), (7, 9, 1)]):
-        key, doc, place = map(np.array, zip(*batch))
-        for d, _, _, k in zip(*family.find(key.astype(np.uint64), doc, place)):
-            of.setdefault(int(k), set()).add(int(d))
-    assert of == {7: {1, 3, 4, 9}, 8: {1, 2}}
