@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlane.operators.shared import folder as shared_folder, settle
 
 #: Bytes of text that the numpy kernels work on at a time; a longer text is a block of its own.
 BLOCK_BYTES = 2 << 20
+#: Numbers that one array holds where rows are numbered.
+ARRAY = 10_000
 
 
-def drop_table(df: DataFrame) -> None:
-    """Remove the files of a table that settle() wrote, once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Remove the files of tables that settle() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept(result: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
+    """result as a table, and the tables that it was made from removed."""
+    out = settle(result, name)
+    drop_table(*spent)
+    return out
+
+
+def numbers(n: Column, name: str) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
+    """A column of arrays and a step after its explosion as `name`, that together number 1 to n; no later array is longer than ARRAY."""
+    part = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / ARRAY))
+    return part, lambda df: df.withColumn(name, F.explode(F.sequence(F.col(name) * ARRAY + 1, F.least(n, (F.col(name) + 1) * ARRAY))))
 
 
 def spare(df: DataFrame, *names: str) -> list[str]:

@@ -3,20 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlane.llm.common import settle, spare, uniform
+from postlane.llm.common import drop_table, kept, numbers, settle, spare, uniform
 
 #: Documents of a leaf, residuals that an inner node combines, the exponent that flattens the sources' shares, the seed.
 LEAF, FAN_IN, POWER, SEED = 20_000, 16, 0.7, 17
-#: Sources that are broadcast at most, and numbers that one array holds at most.
-FEW, _ARRAY = 50_000, 10_000
+#: Sources that are broadcast at most.
+FEW = 50_000
 #: A probability this near to 0 or 1 is 0 or 1.
 _EPS = 1e-9
 
@@ -117,12 +117,6 @@ _STATE = "source string, doc_id bigint, turn int, node string, leaf bigint, p do
 _UNIT = ["source", "doc_id", "turn", "node", "leaf", "p"]
 
 
-def _numbers(n: Column, name: str) -> tuple[Column, Callable[[DataFrame], DataFrame]]:
-    """A column of arrays that, exploded twice, numbers 1 to n; no array of those that follow is longer than _ARRAY."""
-    part = F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / _ARRAY))
-    return part, lambda df: df.withColumn(name, F.explode(F.sequence(F.col(name) * _ARRAY + 1, F.least(n, (F.col(name) + 1) * _ARRAY))))
-
-
 def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, leaf: int = LEAF, fan_in: int = FAN_IN) -> DataFrame:
     """(doc_id, source, turn, copies), a row for each of docs; turn tells rows that repeat a doc_id apart, from 1.
 
@@ -140,16 +134,17 @@ def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, leaf: int = LEAF
     sources = settle(per.join(few, F.expr("source <=> name"), "left").select(F.col("source").alias("name"), "leaves", F.coalesce("rate", F.lit(0.0)).alias("rate")), "sources")
     count, width = sources.agg(F.count("*"), F.coalesce(F.max("leaves"), F.lit(1))).first()
     rated = units.join(F.broadcast(sources) if count <= FEW else sources, F.expr("source <=> name"))
-    part, rest = _numbers(F.col("count"), "turn")
+    part, rest = numbers(F.col("count"), "turn")
     rated = rest(rated.withColumn("turn", F.explode(part))).withColumn("turn", F.col("turn").cast("int"))
     whole = F.floor(F.col("rate") + _EPS)
     spread = F.pmod(F.xxhash64("doc_id", "turn", F.lit(seed)), "leaves").alias("leaf")
     start = settle(rated.select("source", "doc_id", "turn", spread, F.greatest(F.col("rate") - whole, F.lit(0.0)).alias("p"), whole.cast("bigint").alias("floor")), "units")
     open_ = start.where(F.col("p") > _EPS).withColumn("node", F.col("source")).select(*_UNIT)
-    done, level, across = [], 0, False
+    done, passes, level, across = [], [], 0, False
     while True:
         nodes = open_.repartition("node", "leaf").sortWithinPartitions("node", "leaf", "source", "doc_id", "turn")
         state = settle(nodes.mapInArrow(_pass(seed, level), _STATE), "pivotal")
+        passes.append(state)
         done.append(state.where("done"))
         open_ = state.where("NOT done").select(*_UNIT)
         level += 1
@@ -167,12 +162,15 @@ def copies(docs: DataFrame, rates: DataFrame, seed: int = SEED, leaf: int = LEAF
         done.append(open_.withColumns({"up": F.lit(up), "done": F.lit(True)}))
     rounded = reduce(DataFrame.unionByName, done).select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("turn").alias("t"), "up")
     both = start.join(rounded, F.expr("source <=> s AND doc_id <=> d AND turn = t"), "left")
-    return both.select("doc_id", "source", "turn", (F.col("floor") + F.coalesce("up", F.lit(0))).alias("copies"))
+    return kept(both.select("doc_id", "source", "turn", (F.col("floor") + F.coalesce("up", F.lit(0))).alias("copies")), "copies", sources, start, *passes)
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = POWER, seed: int = SEED) -> DataFrame:
     """(doc_id, source, turn, copies) at the target weights; see source_rates() and copies()."""
-    return copies(docs, source_rates(docs, weights, power), seed)
+    rates = source_rates(docs, weights, power)
+    out = copies(docs, rates, seed)
+    drop_table(rates)
+    return out
 
 
 def repeat(docs: DataFrame, counted: DataFrame) -> DataFrame:
@@ -190,7 +188,7 @@ def repeat(docs: DataFrame, counted: DataFrame) -> DataFrame:
     both = both.withColumn(turn, F.when(F.col(rows) > 1, place).otherwise(1))
     extra = F.when(F.col(turn) > F.col(rows) * (1 + F.col(low)) - F.col(more), 1).otherwise(0)
     both = both.withColumn(low, F.col(low) + extra).where(F.col(low) > 0)
-    part, rest = _numbers(F.col(low), copy)
+    part, rest = numbers(F.col(low), copy)
     return rest(both.withColumn(copy, F.explode(part))).select(*names)
 
 

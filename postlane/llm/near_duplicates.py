@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from postlane.llm import golay
-from postlane.llm.common import blocks, drop_table, mix, settle, spare, texts_of
+from postlane.llm.common import blocks, drop_table, kept, mix, settle, spare, texts_of
 from postlane.llm.words import ALNUM, Hasher, lower, spans
 
 #: Segments of 23 bits that are indexed, the indices that one has, and the words of 64 bits of the whole fingerprint.
@@ -279,7 +279,7 @@ def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: floa
     words = ["n", *(f"w{k}" for k in range(WORDS))]
     node = settle(every.groupBy(*words).agg(F.min("doc_id").alias("doc_id")), "nodes")
     pairs = settle(wide_pairs(node, near_wide, near_size), "pairs")
-    root = settle(components(pairs), "roots")
+    root = components(pairs)
     degree = pairs.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))
     to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").join(degree.alias("d"), F.expr("n.doc_id = d.linked"), "left")
     to = to.select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), F.coalesce("d.links", F.lit(0)).alias("links"), *(f"n.{w}" for w in words))
@@ -287,7 +287,8 @@ def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: floa
     bits = " + ".join(_bits(k, "m", "h") for k in range(WORDS))
     head = node.alias("h")
     met = member.select("e.doc_id", "t.root", "t.links", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left")
-    return met.groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"), F.max("m.links").alias("links"))
+    found = met.groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"), F.max("m.links").alias("links"))
+    return kept(found, "duplicates", every, node, pairs, root)
 
 
 def keep_first(docs: DataFrame, **parameters: float) -> DataFrame:

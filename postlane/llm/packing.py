@@ -12,7 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlane.llm.common import blocks, settle, texts_of
+from postlane.llm.common import blocks, drop_table, kept, numbers, settle, texts_of
 from postlane.llm.words import spans
 
 #: Words in a bin, pieces that are packed together, islands for each such shard, solutions on an island, epochs between
@@ -178,7 +178,8 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, *, shard: int = SHARD, isl
         raise ValueError("capacity must be positive")
     spark = counts.sparkSession
     one = counts.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("words").cast("bigint").alias("words")).where("words > 0")
-    rows = one.groupBy("doc_id", "words").count().select("doc_id", "words", F.explode(F.expr("sequence(1, cast(count AS int))")).alias("turn"))
+    part, rest = numbers(F.col("count"), "turn")
+    rows = rest(one.groupBy("doc_id", "words").count().withColumn("turn", F.explode(part))).select("doc_id", "words", F.col("turn").cast("int").alias("turn"))
     begin = F.explode(F.expr(f"sequence(0L, words - 1, {capacity}L)"))
     pieces = rows.withColumn("begin", begin).withColumn("piece", (F.col("begin") / capacity).cast("int")).withColumn("size", F.least(F.lit(capacity).cast("bigint"), F.col("words") - F.col("begin")).cast("int"))
     pieces = settle(pieces, "pieces")
@@ -189,8 +190,12 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, *, shard: int = SHARD, isl
     key = F.pmod(F.xxhash64("doc_id", "words", "turn", "piece", F.lit(seed)), F.lit(shards)).alias("shard")
     grouped = settle(pieces.where(F.col("size") < capacity).groupBy(key).agg(F.sort_array(F.collect_list(F.struct(*fields)), asc=False).alias("items")), "shards")
     state = grouped.select("shard", F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island"), F.col("items.size").alias("sizes"), F.array().cast("array<binary>").alias("population"), F.lit(None).cast("binary").alias("migrant"))
+    before = None
     for epoch in range(epochs):
         state = settle(state.repartition(tasks, "shard", "island").mapInPandas(_epoch(capacity, population, children, seed, epoch), _STATE), "islands")
+        if before is not None:
+            drop_table(before)
+        before = state
         if epoch + 1 < epochs:
             w = Window.partitionBy("shard").orderBy("island")
             ring = F.coalesce(F.lag("elite").over(w), F.last("elite").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
@@ -201,7 +206,7 @@ def pack(counts: DataFrame, capacity: int = CAPACITY, *, shard: int = SHARD, isl
     inside = both.select((F.col("shard") * (1 << 24) + F.col("z.bins")).alias("bin_id"), *(F.col(f"z.items.{x}").alias(x) for x in ("doc_id", "turn", "piece", "begin")), F.col("z.items.size").alias("words"))
     full = pieces.where(F.col("size") == capacity)
     alone = full.select((-1 - F.monotonically_increasing_id()).alias("bin_id"), "doc_id", "turn", "piece", "begin", F.col("size").alias("words"))
-    return inside.unionByName(alone)
+    return kept(inside.unionByName(alone), "packed", pieces, grouped, *([] if before is None else [before]))
 
 
 def op6_genetic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

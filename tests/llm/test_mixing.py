@@ -144,7 +144,7 @@ def test_copies_against_plain_lists(spark):
 
 
 def test_rows_that_repeat_an_id_and_many_copies(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "_ARRAY", 3)
+    monkeypatch.setattr("postlane.llm.common.ARRAY", 3)
     docs = table(spark, [(1, "s", "b"), (1, "s", "a"), (1, "s", "c"), (2, "s", "z"), (3, "t", "y")], "doc_id bigint, source string, text string")
     counted = table(spark, [(1, "s", 1, 8), (1, "s", 2, 7), (1, "s", 3, 8), (2, "s", 1, 0), (3, "t", 1, 3)], "doc_id bigint, source string, turn int, copies bigint")
     out = [r["text"] for r in mixing.repeat(docs, counted).collect()]
