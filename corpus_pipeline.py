@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postlane.llm import language, mixing, near_duplicates, packing, secrets
-from postlane.llm.common import settle
+from postlane.llm.common import drop_table, settle
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -51,10 +51,13 @@ STAGES: list[tuple[str, Stage]] = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents of sf_dir, each written to the shared folder and read again by the next, after which it goes."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            drop_table(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
