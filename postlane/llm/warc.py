@@ -10,11 +10,10 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from postlane.llm.common import shared_folder
+from postlane.llm.common import file_system, shared_folder
 
 #: Bytes of a chunk, and rows that a batch holds before it is passed on.
 CHUNK_BYTES, BATCH_BYTES = 8192, 4 << 20
@@ -121,12 +120,8 @@ def verify(chunks: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, ("path string, " if len(by) > 1 else "") + "record_id bigint, n_chunks bigint, n_bytes bigint, whole boolean")
 
 
-def _system(path: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
-
-
 def _open(path: str) -> BinaryIO:
-    system, inner = _system(path)
+    system, inner = file_system(path)
     raw = system.open_input_stream(inner, compression=None)
     return gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw
 
@@ -134,7 +129,7 @@ def _open(path: str) -> BinaryIO:
 def _line(stream: BinaryIO, held: bytearray) -> bytes | None:
     """The next line with its end, or as much of it as LINE_BYTES; None at the end."""
     while (at := held.find(b"\n")) < 0 and len(held) < LINE_BYTES:
-        more = stream.read(LINE_BYTES)
+        more = stream.read1(LINE_BYTES)
         if not more:
             at = len(held) - 1
             break
@@ -152,7 +147,8 @@ def records_of(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chu
 
     Blank lines between records are passed over. What isn't a record, or has no Content-Length that is a number, comes
     as one empty chunk with an error that isn't the last, and reading goes on at the next line that begins a record. A
-    record cut short, or whose compressed bytes can't be read on, ends with a chunk that isn't the last.
+    record cut short, or whose compressed bytes can't be read on, ends with a chunk that isn't the last. read1() gives
+    what has come so far, so that nothing before such a place is lost.
     """
     held = bytearray()
     empty = hashlib.sha1().hexdigest()
@@ -181,7 +177,7 @@ def records_of(stream: BinaryIO, chunk_bytes: int = CHUNK_BYTES) -> Iterator[Chu
             left = int(headers["content-length"])
             while True:
                 want = min(chunk_bytes, left - at)
-                while len(held) < want and (more := stream.read(max(LINE_BYTES, want - len(held)))):
+                while len(held) < want and (more := stream.read1(max(LINE_BYTES, want - len(held)))):
                     held += more
                 part = bytes(held[:want])
                 del held[:want]
@@ -247,13 +243,13 @@ def write_warc(pages: DataFrame, folder: str, record_id: str = "page_id", uri: s
     again, or twice at once, leaves one file of the same bytes; partitions without a record leave none. An id or
     address that is null is left empty or out.
     """
-    system, inner = _system(folder)
+    system, inner = file_system(folder)
     system.create_dir(inner, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
         name = f"{folder}/part-{task.partitionId():06d}.warc"
-        own, final = _system(name)
+        own, final = file_system(name)
         part, stream = f"{final}.{task.taskAttemptId()}", None
         for b in batches:
             ids, uris = b.column(0).to_pylist(), b.column(1).to_pylist()

@@ -69,6 +69,8 @@ class _Counted(io.BytesIO):
         assert n >= 0
         return super().read(n)
 
+    read1 = read
+
 
 def test_no_more_than_a_chunk_is_held():
     stream = _Counted(warc.warc_bytes(1, None, b"z" * 3_000_000))
