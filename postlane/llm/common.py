@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from postlane.operators.shared import folder as shared_folder, settle
@@ -25,6 +26,11 @@ def drop_table(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """(the file system of a path or URI, the path there)."""
+    return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path.removeprefix("file:"))
+
+
 def kept(result: DataFrame, name: str, *spent: DataFrame) -> DataFrame:
     """result as a table, and the tables that it was made from removed."""
     out = settle(result, name)

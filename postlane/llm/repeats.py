@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from postlane.llm.common import blocks, mix, texts_of
+from postlane.llm.common import blocks, file_system, mix, settle, texts_of
 from postlane.llm.words import NOT_SPACE, Hasher, grams, lower, sliding_min, spans
 
 #: Words that a passage has at least, and words of the k-mer that decides which shard a suffix goes to.
@@ -17,6 +19,7 @@ MIN_WORDS, ANCHOR = 50, 8
 BATCH, CHUNK = 1 << 18, 1 << 16
 
 _NONE = np.iinfo(np.int64).min
+_ARRAYS = ("pool", "at", "doc", "place", "second", "head")
 _RECORD = "anchor bigint, doc_id bigint, start int, n int, words binary"
 
 
@@ -35,6 +38,12 @@ class Level:
     """
 
     def __init__(self, width: int, pool: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, second: np.ndarray, head: np.ndarray) -> None:
+        self.width, self.pool, self.at, self.doc, self.place, self.second, self.head = width, pool, at, doc, place, second, head
+        self.file: str | None = None  # where it is saved as it is
+
+    @classmethod
+    def of(cls, width: int, pool: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray, second: np.ndarray, head: np.ndarray) -> Level:
+        """A level of sorted suffixes, less those that aren't held and the words that none held needs."""
         start, size = _starts(head)
         keep = np.ones(len(at), bool)
         if len(start):
@@ -48,12 +57,32 @@ class Level:
             second[start[late[lacks]]] = doc[other[by[lacks]]]
             keep = np.repeat(second[start] == _NONE, size)
             keep[start] = True
-        at, self.doc, self.place, self.second, self.head = at[keep], doc[keep], place[keep], second[keep], head[keep]
-        cover = np.zeros(len(pool) + 1, np.int32)  # words that no suffix held needs any more go
+        at = at[keep]
+        cover = np.zeros(len(pool) + 1, np.int32)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + width, -1)
         used = np.cumsum(cover[:-1]) > 0
-        self.pool, self.at, self.width = pool[used], (np.cumsum(used) - 1)[at], width
+        return cls(width, pool[used], (np.cumsum(used) - 1)[at], doc[keep], place[keep], second[keep], head[keep])
+
+    def save(self, path: str) -> None:
+        """Write the level; a file gets its name once it is whole, so a task that runs again leaves the same."""
+        system, inner = file_system(path)
+        system.create_dir(inner.rpartition("/")[0], recursive=True)
+        held = io.BytesIO()
+        np.savez(held, **{k: getattr(self, k) for k in _ARRAYS})
+        part = f"{inner}.{uuid.uuid4().hex}"
+        with system.open_output_stream(part) as out:
+            out.write(held.getbuffer())
+        system.move(part, inner)
+        self.file = path
+
+    @classmethod
+    def load(cls, path: str, width: int) -> Level:
+        system, inner = file_system(path)
+        with system.open_input_file(inner) as f, np.load(io.BytesIO(f.read())) as z:
+            level = cls(width, *(z[k] for k in _ARRAYS))
+        level.file = path
+        return level
 
     def __len__(self) -> int:
         return len(self.at)
@@ -100,7 +129,7 @@ class Level:
             return out
 
         head = both(self.head, other.head & ~np.concatenate([*same, np.zeros(0, bool)]))
-        return Level(self.width, joined([self.pool, other.pool]), both(self.at, other.at + len(self.pool)), both(self.doc, other.doc), both(self.place, other.place), both(self.second, other.second), head)
+        return Level.of(self.width, joined([self.pool, other.pool]), both(self.at, other.at + len(self.pool)), both(self.doc, other.doc), both(self.place, other.place), both(self.second, other.second), head)
 
 
 def joined(pools: list[np.ndarray]) -> np.ndarray:
@@ -132,8 +161,8 @@ class SuffixFamily:
     come in order, so that a suffix's least documents are known from the first batches that have it.
     """
 
-    def __init__(self, width: int) -> None:
-        self.width, self.levels = width, []
+    def __init__(self, width: int, levels: list[Level] | None = None) -> None:
+        self.width, self.levels = width, levels or []
 
     def add(self, pool: np.ndarray, at: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, ...]:
         """(document, place, least other document, number of the words) of the suffixes of this batch, and of earlier ones first matched by it, that another document has too."""
@@ -155,6 +184,8 @@ class SuffixFamily:
             start, size = _starts(level.head)
             size = size[np.searchsorted(start, once)] if len(once) else once
             rows = np.repeat(once, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            if len(rows):
+                level.file = None
             level.second[rows] = np.repeat(doc[hit[fresh[back]]], size)
             late.append((level.doc[rows], level.place[rows], level.second[rows], group_of(level.keys(rows), self.width)))
         head = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
@@ -167,7 +198,7 @@ class SuffixFamily:
         next_[some] = doc[others[by]]
         lone = partner == _NONE
         partner[lone] = np.where(doc[lone] == first[lone], next_[run[lone]], first[lone])
-        self.levels.append(Level(self.width, pool, at, doc, place, partner, head))
+        self.levels.append(Level.of(self.width, pool, at, doc, place, partner, head))
         while len(self.levels) > 1 and len(self.levels[-1]) >= len(self.levels[-2]):
             newer = self.levels.pop()
             self.levels.append(self.levels.pop().merge(newer))
@@ -232,41 +263,63 @@ def _runs(doc: np.ndarray, place: np.ndarray, partner: np.ndarray, key: np.ndarr
     return pa.RecordBatch.from_arrays(arrays, ["doc_id", "first", "last", "partner", "groups"])
 
 
+class _Batches:
+    """Records gathered into batches, which go into the family; add() and flush() give rows of runs."""
+
+    def __init__(self, family: SuffixFamily) -> None:
+        self.family, self.held, self.count = family, [], 0
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            shift = np.cumsum([0, *(len(x[0]) for x in self.held)])
+            at = np.concatenate([x[1] + k for x, k in zip(self.held, shift)])
+            pool = joined([x[0] for x in self.held])
+            doc, place = (np.concatenate([x[k] for x in self.held]) for k in (2, 3))
+            self.held, self.count = [], 0
+            yield _runs(*self.family.add(pool, at, doc, place))
+
+    def add(self, doc: np.ndarray, start: np.ndarray, n: np.ndarray, blob: pa.Array) -> Iterator[pa.RecordBatch]:
+        ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
+        for part in range(0, len(n), 4096):
+            m = n[part : part + 4096].astype(np.int64)
+            a = ends[part : part + len(m) + 1]
+            pool = np.frombuffer(blob.buffers()[2], ">u4", (a[-1] - a[0]) // 4, a[0])
+            row = np.repeat(np.arange(len(m)), m)
+            step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+            self.held.append((pool, (a[row] - a[0]) // 4 + step, doc[part : part + len(m)][row], start[part : part + len(m)][row].astype(np.int64) + step))
+            self.count += len(row)
+            if self.count >= BATCH:
+                yield from self.flush()
+
+
 def _scan(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        family = SuffixFamily(min_words)
-        held: list[tuple[np.ndarray, ...]] = []
-
-        def flush() -> pa.RecordBatch:
-            shift = np.cumsum([0, *(len(x[0]) for x in held)])
-            at = np.concatenate([x[1] + k for x, k in zip(held, shift)])
-            pool = joined([x[0] for x in held])
-            doc, place = (np.concatenate([x[k] for x in held]) for k in (2, 3))
-            held.clear()
-            return _runs(*family.add(pool, at, doc, place))
-
-        count = 0
+        held = _Batches(SuffixFamily(min_words))
         for b in batches:
-            doc, start, n = (b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 4))
-            blob = b.column(4)
-            ends = np.frombuffer(blob.buffers()[1], np.int32)[blob.offset : blob.offset + len(blob) + 1].astype(np.int64)
-            for part in range(0, len(n), 4096):
-                m = n[part : part + 4096].astype(np.int64)
-                a = ends[part : part + len(m) + 1]
-                pool = np.frombuffer(blob.buffers()[2], ">u4", (a[-1] - a[0]) // 4, a[0])
-                row = np.repeat(np.arange(len(m)), m)
-                step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-                held.append((pool, (a[row] - a[0]) // 4 + step, doc[part : part + len(m)][row], start[part : part + len(m)][row].astype(np.int64) + step))
-                count += len(row)
-                if count >= BATCH:
-                    yield flush()
-                    count = 0
-        if held:
-            yield flush()
+            yield from held.add(*(b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 4)), b.column(4))
+        yield from held.flush()
 
     return run
 
 
+_RUN = "doc_id bigint, first int, last int, partner bigint, groups array<bigint>"
+
+
+def _stretches(found: DataFrame, min_words: int) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("first", "last")
+    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.when(F.col("first") > before + min_words, 1).when(before.isNull(), 1).otherwise(0)
+    marked = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    size = (F.max("last") - F.min("first") + min_words).cast("int")
+    return marked.groupBy("doc_id", "stretch").agg(F.min("first").alias("start_word"), size.alias("n_words"), F.min("partner").alias("partner"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("groups")))).alias("groups")).drop("stretch")
+
+
+def _records_of(docs: DataFrame, min_words: int, anchor: int) -> DataFrame:
+    if not 0 < anchor <= min_words:
+        raise ValueError("0 < anchor <= min_words is needed")
+    return texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_records(min_words, anchor), _RECORD)
+
+
 def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:
     """(doc_id, start_word, n_words, partner, groups): the stretches of each document whose every word lies in min_words words that another document has too.
 
@@ -281,18 +334,72 @@ def shared_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = A
     One shuffle, by anchor, of about 13 bytes a word; a shard streams through its family in batches and holds each
     distinct suffix once, so a passage that a million documents share takes the room of one.
     """
-    if not 0 < anchor <= min_words:
-        raise ValueError("0 < anchor <= min_words is needed")
+    shards = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    records = _records_of(docs, min_words, anchor)
+    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan(min_words), _RUN)
+    return _stretches(found, min_words)
+
+
+def _extend(min_words: int, folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held = None, None
+        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+        names = ["shard", "level", "file", "doc_id", "first", "last", "partner", "groups"]
+
+        def runs(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in found:
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(b.num_rows, k) for k in kinds[:3]), *b.columns], names)
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if held is not None:
+                yield from runs(held.flush())
+                for k, level in enumerate(held.family.levels):
+                    if level.file is None:
+                        level.save(f"{folder}/{shard}-{k}.npz")
+                    yield pa.RecordBatch.from_arrays([*(pa.array([x], t) for x, t in zip((shard, k, level.file), kinds)), *(pa.nulls(1, t) for t in kinds[3:])], names)
+
+        for b in batches:
+            of = b.column(0).to_numpy()
+            cut = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(of)]
+            for a, z in zip(cut[:-1], cut[1:]):
+                part = b.slice(a, z - a)
+                if shard != of[a]:
+                    yield from close()
+                    shard, held = int(of[a]), _Batches(SuffixFamily(min_words))
+                files = part.column(2).drop_null().to_pylist()
+                held.family.levels += [Level.load(f, min_words) for f in files]
+                rows = part.slice(len(files))
+                if rows.num_rows:
+                    yield from runs(held.add(*(rows.column(k).to_numpy(zero_copy_only=False) for k in (3, 4, 5)), rows.column(6)))
+        yield from close()
+
+    return run
+
+
+def extend(docs: DataFrame, folder: str, family: DataFrame | None = None, shards: int | None = None, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
+    """(passages, family): a batch of documents matched with each other and with those of the batches that family is of.
+
+    family is a table (shards, shard, level, file) of the levels of every shard; None begins one, of `shards` shards.
+    The levels are files in folder, which executors share: a task reads those of its shard, so that nothing of them
+    is shuffled, and writes the ones that the batch made, merged or marked; what family names stays as it was, so a
+    batch that fails can be run again from it. passages are as shared_passages() gives them for the documents of the
+    batch, and for the stretches of earlier ones that no document had before. Where a passage comes from an earlier
+    batch, partner is its first document there. A doc_id that an earlier batch had is the same document. An empty
+    batch changes nothing.
+    """
     spark = docs.sparkSession
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    records = texts_of(docs).where("doc_id IS NOT NULL AND text IS NOT NULL").mapInArrow(_records(min_words, anchor), _RECORD)
-    found = records.repartition(shards, "anchor").sortWithinPartitions("doc_id", "start").mapInArrow(_scan(min_words), "doc_id bigint, first int, last int, partner bigint, groups array<bigint>")
-    w = Window.partitionBy("doc_id").orderBy("first", "last")
-    before = F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(F.col("first") > before + min_words, 1).when(before.isNull(), 1).otherwise(0)
-    marked = found.withColumn("new", new).withColumn("stretch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    size = (F.max("last") - F.min("first") + min_words).cast("int")
-    return marked.groupBy("doc_id", "stretch").agg(F.min("first").alias("start_word"), size.alias("n_words"), F.min("partner").alias("partner"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("groups")))).alias("groups")).drop("stretch")
+    if family is not None:
+        shards = (family.agg(F.max("shards")).first()[0]) or shards
+    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    records = _records_of(docs, min_words, anchor).select(F.pmod("anchor", F.lit(shards)).cast("int").alias("shard"), F.lit(-1).alias("level"), F.lit(None).cast("string").alias("file"), "doc_id", "start", "n", "words")
+    rows = records
+    if family is not None:
+        rows = rows.unionByName(family.select("shard", "level", "file"), allowMissingColumns=True)
+    ordered = rows.repartition(shards, "shard").sortWithinPartitions("shard", F.col("file").isNull(), "level", "doc_id", "start")
+    schema = f"shard int, level int, file string, {_RUN}"
+    both = settle(ordered.mapInArrow(_extend(min_words, f"{folder}/levels-{uuid.uuid4().hex}"), schema), "family")
+    passages = _stretches(both.where("doc_id IS NOT NULL").select("doc_id", "first", "last", "partner", "groups"), min_words)
+    return passages, both.where("file IS NOT NULL").select(F.lit(shards).alias("shards"), "shard", "level", "file")
 
 
 def repeated_passages(docs: DataFrame, min_words: int = MIN_WORDS, anchor: int = ANCHOR) -> DataFrame:

@@ -128,3 +128,25 @@ def test_every_pair_follows_from_the_groups(spark):
         for g in x["groups"]:
             of.setdefault(g, set()).add(x["doc_id"])
     assert {(a, b) for docs in of.values() for a in docs for b in docs if a != b} == want
+
+
+def test_batches_that_come_later_meet_saved_levels(spark, nothing, tmp_path, monkeypatch):
+    monkeypatch.setattr(repeats, "BATCH", 40)
+    r, w = random.Random(11), 6
+    shared = [prose(r, n) for n in (6, 9, 14)]
+    make = lambda: " ".join(r.choice([prose(r, 5), r.choice(shared)]) for _ in range(6))
+    batches = [{d: make() for d in range(a, a + 8)} for a in (100, 0, 50)]
+    family, so_far, got = None, {}, {}
+    for k, texts in enumerate(batches):
+        passages, family = repeats.extend(table(spark, list(texts.items())), str(tmp_path), family, 3, w, 3)
+        so_far |= texts
+        for p in passages.collect():
+            got.setdefault(p["doc_id"], set()).update(range(p["start_word"], p["start_word"] + p["n_words"]))
+            assert p["doc_id"] in so_far and p["partner"] in so_far and p["partner"] != p["doc_id"]
+        want, _ = brute({d: t.lower().split() for d, t in so_far.items()}, w)
+        assert got == want, k
+    assert {x["shard"] for x in family.collect()} <= {0, 1, 2} and family.count() > 0
+    passages, same = repeats.extend(nothing, str(tmp_path), family, None, w, 3)
+    assert passages.collect() == [] and sorted(map(tuple, same.collect())) == sorted(map(tuple, family.collect()))
+    passages, none = repeats.extend(nothing, str(tmp_path))
+    assert passages.collect() == [] and none.collect() == []
