@@ -58,10 +58,7 @@ class Level:
             keep = np.repeat(second[start] == _NONE, size)
             keep[start] = True
         at = at[keep]
-        cover = np.zeros(len(pool) + 1, np.int32)
-        np.add.at(cover, at, 1)
-        np.add.at(cover, at + width, -1)
-        used = np.cumsum(cover[:-1]) > 0
+        used = np.cumsum(np.bincount(at, minlength=len(pool) + 1) - np.bincount(at + width, minlength=len(pool) + 1))[:-1] > 0
         return cls(width, pool[used], (np.cumsum(used) - 1)[at], doc[keep], place[keep], second[keep], head[keep])
 
     def save(self, path: str) -> None:
@@ -105,9 +102,9 @@ class Level:
             row = np.searchsorted(chunk, mine, "right" if after else "left")
             at[done:last] = first + row
             if after:
-                same[done:last] = np.where(row > 0, chunk[np.maximum(row - 1, 0)] == mine, False if before is None else before == mine)
+                same[done:last] = np.where(row > 0, equal(chunk, np.maximum(row - 1, 0), mine), False if before is None else before == mine)
             else:
-                same[done:last] = (row < len(chunk)) & (chunk[np.minimum(row, len(chunk) - 1)] == mine)
+                same[done:last] = (row < len(chunk)) & equal(chunk, np.minimum(row, len(chunk) - 1), mine)
             done, before = last, chunk[-1]
         return at, same
 
@@ -143,6 +140,15 @@ def laid_out(pool: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
     return np.ndarray((len(pool) - width + 1,), f"S{4 * width}", buffer=np.ascontiguousarray(pool), strides=(4,))[at]
 
 
+def equal(keys: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """keys[at] == other; the last word is compared first, and all of them only where that is the same."""
+    last = lambda x: x.view(">u4").reshape(len(x), x.dtype.itemsize // 4)[:, -1]
+    out = last(keys)[at] == last(other)
+    some = np.flatnonzero(out)
+    out[some] = keys[at[some]] == other[some]
+    return out
+
+
 def group_of(keys: np.ndarray, width: int) -> np.ndarray:
     """A 64-bit number of each suffix's words."""
     words = keys.view(">u4").reshape(-1, width)
@@ -188,7 +194,7 @@ class SuffixFamily:
                 level.file = None
             level.second[rows] = np.repeat(doc[hit[fresh[back]]], size)
             late.append((level.doc[rows], level.place[rows], level.second[rows], group_of(level.keys(rows), self.width)))
-        head = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+        head = np.r_[True, ~equal(keys, np.arange(len(keys) - 1), keys[1:])] if len(keys) else np.zeros(0, bool)
         start, size = _starts(head)
         first = np.repeat(doc[start], size)
         run = np.repeat(np.arange(len(start)), size)
