@@ -208,3 +208,28 @@ SELECT w.ord::BIGINT AS ord, w.doc_id::BIGINT AS doc_id, coalesce(array_to_strin
 #: An array of a document's words, sorted, each with its bytes turned round and closed by a mark above them: its order is that of the documents.
 ORACLE_SQL["sort_docs"] = f"""WITH {_TOKENS}, k AS (SELECT doc_id, list_transform(list_sort(t), lambda x: translate(hex(encode(x)), '0123456789ABCDEF', 'FEDCBA9876543210') || 'G') AS key FROM tk)
 SELECT doc_id, row_number() OVER (ORDER BY key, doc_id)::INTEGER AS rank FROM k"""
+
+#: By hand: a number, or a share of the clauses rounded towards 0, or what is left without it; conditions hold above their number.
+_LEAST = {
+    "2": "least(2, n)", "-1": "n - 1", "75%": "n * 75 // 100", "-25%": "n - n * 25 // 100", "2<-25%": "CASE WHEN n > 2 THEN n - n * 25 // 100 ELSE n END",
+    "3<90%": "CASE WHEN n > 3 THEN n * 90 // 100 ELSE n END", "2<-1 5<80%": "CASE WHEN n > 5 THEN n * 80 // 100 WHEN n > 2 THEN n - 1 ELSE n END",
+}
+_EXPLAINED = {
+    "edismax_term_centric": "((title:of^1 | body:of^1) (title:the^1 | body:the^1))~1",
+    "edismax_tie": "((title:of^1 | body:of^1) (title:the^1 | body:the^1))~1",
+    "edismax_mm": "((title:of^1 | body:of^1) (title:the^1 | body:the^1) (title:to^1 | body:to^1) (title:and^1 | body:and^1))~3",
+    "edismax_boost": "((title:of^2.0 | body:of^0.5) (title:the^2.0 | body:the^0.5))~1",
+    "edismax_and": "((title:of^1 | body:of^1) (title:the^1 | body:the^1))~2",
+    "edismax_field_centric": "((exact_title:of the)~1)^3.0 | ((body:of body:the)~2)^1",
+    "edismax_pf": '((title:of^1 | body:of^1) (title:the^1 | body:the^1))~2 (title:"of the")^2.0 (body:"of the")^1',
+    "edismax_pf2": '((title:of^1 | body:of^1) (title:the^1 | body:the^1) (title:to^1 | body:to^1))~1 (body:"of the")^3.0 (body:"the to")^3.0',
+    "edismax_pf3": '((title:The^1 | body:The^1) (title:and^1 | body:and^1) (title:attion^1 | body:attion^1) (title:to^1 | body:to^1))~1 (body:"The and attion")^1 (body:"and attion to")^1',
+    "edismax_full": '((title:The^2.0 | body:The^1) (title:and^2.0 | body:and^1) (title:attion^2.0 | body:attion^1) (title:to^2.0 | body:to^1))~2 (body:"The and attion to")^1 (title:"The and")^1 (title:"and attion")^1 (title:"attion to")^1 (body:"The and")^0.5 (body:"and attion")^0.5 (body:"attion to")^0.5 (body:"The and attion")^2.0 (body:"and attion to")^2.0',
+}
+ORACLE_SQL |= {
+    "mm_clauses": " UNION ALL ".join(f"SELECT {_q(spec)} AS spec, n AS clauses, ({least})::BIGINT AS least FROM range(1, 13) AS r(n)" for spec, least in _LEAST.items()),
+    "edismax_explained": "SELECT * FROM (VALUES " + ", ".join(f"({_q(k)}, {_q(v)})" for k, v in _EXPLAINED.items()) + ") AS v(name, explained)",
+    "read_tsv": "SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\t\\n\\r]', ' ', 'g') AS text FROM documents",
+    "read_json_map": "SELECT doc_id, 't' AS title, coalesce(text, '') AS body, '' AS none FROM documents",
+    "stream_index": ORACLE_SQL["termfreqs_term"],
+}

@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from postlane.functions import similarity as sim, tokenizers as tok
+from postlane.functions.query_syntax import minimum_should_match
 from postlane.operators import documents as docs_ops, sets
 from postlane.operators.edismax import edismax
 from postlane.operators.index import SearchIndex, token_table, triples
 from postlane.operators.results import Results
 from postlane.operators.shared import folder
 from postlane.plans.corpora import documents, index, table
+from postlane.sources import readers
+from postlane.streaming import append
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -228,6 +233,73 @@ for _name, _parameters in EDISMAX.items():
     _edismax(_name, _parameters)
 
 
+@query
+def edismax_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each multi-field query is read."""
+
+    def read(parameters: dict) -> str:
+        p = {"q": "of the", **parameters}
+        return edismax(_fields(spark, sf_dir, *(x.partition("^")[0] for x in p["qf"])), **p)[1]
+
+    return spark.createDataFrame([(name, read(p)) for name, p in EDISMAX.items()], "name string, explained string")
+
+
+MM_SPECS = ("2", "-1", "75%", "-25%", "2<-25%", "3<90%", "2<-1 5<80%")
+
+
+@query
+def mm_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of 1 to 12 terms each specification demands."""
+    return spark.createDataFrame([(spec, n, minimum_should_match(n, spec)) for spec in MM_SPECS for n in range(1, 13)], "spec string, clauses bigint, least bigint")
+
+
+# sources
+
+
+def _one_line(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), "[\t\n\r]", " ")
+
+
+@query
+def read_tsv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as tab-separated text and back."""
+    path = f"{folder(spark)}/tsv-{uuid.uuid4().hex}"
+    documents(spark, sf_dir).select(F.concat_ws("\t", F.col("doc_id").cast("string"), _one_line(F.col("text")))).write.text(path)
+    rows = readers.tsv(spark, path, ["doc_id", "text"])
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+
+
+@query
+def read_json_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as JSON objects of id to record, one for each partition, and back."""
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mark = "{"
+        for f in frames:
+            for key, value in zip(f["key"], f["value"]):
+                yield pd.DataFrame({"line": [f"{mark}{json.dumps(key)}: {value}"]})
+                mark = ","
+        yield pd.DataFrame({"line": ["{}" if mark == "{" else "}"]})
+
+    path = f"{folder(spark)}/json-{uuid.uuid4().hex}"
+    record = F.to_json(F.struct(F.lit("t").alias("title"), F.col("text").alias("body")))
+    documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("key"), record.alias("value")).mapInPandas(lines, "line string").write.text(path)
+    rows = readers.json_map(spark, path, ["title", "body", "none"])
+    return rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), "title", "body", "none")
+
+
+@query
+def stream_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as a stream into an index, its batches compacted, and a term's frequencies in it."""
+    at, path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/documents.parquet"), f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    reader = spark.readStream.schema("doc_id bigint, text string")
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory():
+        reader, at = reader.option("pathGlobFilter", at.getName()), at.getParent()
+    append.append_stream(reader.parquet(at.toString()), f"{path}/batches", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    whole = append.compact(spark, f"{path}/batches", f"{path}/whole")
+    return whole.termfreqs(TERM).select("doc_id", F.col("tf").cast("bigint").alias("tf"))
+
+
 # results
 
 
