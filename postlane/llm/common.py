@@ -61,8 +61,9 @@ def texts_of(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def blocks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets) of runs of rows of about BLOCK_BYTES; a null is an empty text."""
+def blocks(text: pa.Array, most: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets) of runs of rows of about `most` bytes, or BLOCK_BYTES; a null is an empty text."""
+    most = most or BLOCK_BYTES
     if isinstance(text, pa.ChunkedArray):
         text = text.combine_chunks()
     wide = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
@@ -74,7 +75,7 @@ def blocks(text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, "right")) - 1)
+        last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
         last = min(last, n)
         yield first, last, raw[at[first] : at[last]], at[first : last + 1] - at[first]
         first = last
@@ -102,12 +103,12 @@ def pick_rows(docs: DataFrame, most: int, label: str, least: int, *, salt: int =
 
     doc_ids are counted by label, then picked by least hash of doc_id, so the same rows whatever the partitioning; of
     rows that repeat a doc_id the one with the least hash of the text. Texts that aren't picked don't move, and there
-    are at most most + least * labels of those that are. Rows with a null in one of the three don't count. A doc_id is
-    of the least label it has.
+    are at most most + least * labels of those that are. Rows with a null in one of the three don't count. A doc_id with
+    several labels counts for each, and is given with the least.
     """
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("string").alias("label"), F.col("text").cast("string").alias("text"))
     sound = rows.where("doc_id IS NOT NULL AND label IS NOT NULL AND text IS NOT NULL")
-    ids = sound.groupBy("doc_id").agg(F.min("label").alias("label"))
+    ids = sound.select("doc_id", "label").distinct()
     counts = {r["label"]: r["count"] for r in ids.groupBy("label").count().collect()}
     whole = sum(counts.values())
     want = {x: min(n, max(least, round(most * n / whole))) for x, n in counts.items()}
@@ -119,7 +120,6 @@ def pick_rows(docs: DataFrame, most: int, label: str, least: int, *, salt: int =
     near = ids.withColumn("key", key).join(F.broadcast(few), "label").where("key <= below")  # a row for each label
     turn = F.row_number().over(Window.partitionBy("label").orderBy("key", "doc_id"))
     chosen = near.withColumn("turn", turn).where("turn <= want").select("doc_id", "label")
-    taken = {r["doc_id"]: r["label"] for r in chosen.collect()}
-    picked = sound.where(F.col("doc_id").isin(list(taken)))
+    picked = sound.where(F.col("doc_id").isin([r["doc_id"] for r in chosen.collect()]))
     one = picked.groupBy("doc_id").agg(F.min("label").alias("label"), F.min_by("text", F.xxhash64("text")).alias("text"))
     return one.select("doc_id", "label", "text")

@@ -15,8 +15,8 @@ from postlane.llm.common import blocks, mix, pick_rows, texts_of
 BUCKETS, LONGEST, SAMPLE, LEAST = 1 << 15, 3, 2400, 150
 #: A text whose best language has less than this probability is rejected.
 MIN_CONFIDENCE = 0.5
-#: Characters of a text that are cut into n-grams at a time.
-_PIECE = 1 << 21
+#: Bytes of texts, and characters of a long one, that are cut into n-grams at a time: what is made of them takes over a hundred times the room.
+_PIECE = 1 << 18
 
 _CODES = 1 << 16
 _IDEOGRAPHS = 0x20000  #: what of the characters beyond _CODES counts as letters begins here
@@ -72,7 +72,7 @@ def ngram_counts(text: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int,
     Case is folded and all that isn't a letter reads as a space; an n-gram of spaces alone doesn't count. One long
     text is cut into pieces whose counts are summed.
     """
-    for first, last, raw, offsets in blocks(text):
+    for first, last, raw, offsets in blocks(text, _PIECE):
         code, at = characters(raw, offsets)
         known = np.minimum(code, _CODES - 1)
         letter = _LETTER[known] | (code >= _IDEOGRAPHS)
@@ -87,10 +87,12 @@ def ngram_counts(text: pa.Array, buckets: int = BUCKETS) -> Iterator[tuple[int,
             row, count = np.zeros(len(bucket), np.int64), n[bucket]
         elif len(low):
             row, bucket = _buckets(low, letter, of, len(low), buckets)
-            key = np.sort(row.astype(np.uint64) * np.uint64(buckets) + bucket)
+            wide = np.uint32 if (last - first) * buckets <= 1 << 32 else np.uint64
+            key = row.astype(wide) * wide(buckets) + bucket.astype(wide)
+            key.sort()
             cut = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
             count = np.diff(np.r_[cut, len(key)])
-            row, bucket = (x.astype(np.int64) for x in np.divmod(key[cut], np.uint64(buckets)))
+            row, bucket = (x.astype(np.int64) for x in np.divmod(key[cut], wide(buckets)))
         else:
             continue
         yield first, last, first + row, bucket, count

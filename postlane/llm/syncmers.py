@@ -68,7 +68,11 @@ def syncmers(docs: DataFrame, k: int = K, s: int = S) -> DataFrame:
 
 
 def positional_matches(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(a, b, shift, anchors): for each document of left and each of right, the shared anchors by the shift between their places."""
+    """(a, b, shift, anchors): for each document of left and each of right, the shared anchors by the shift between their places.
+
+    left must be a stated set of queries, as an anchor that many documents have meets all of its queries; equal places
+    of a passage give one row a pair of documents. Texts without anchors, of fewer than k words, meet nothing.
+    """
     flat = lambda d, x: d.where("doc_id IS NOT NULL").select(F.col("doc_id").alias(x), F.explode(F.arrays_zip("places", "hashes")).alias("z")).select(x, F.col("z.places").alias(f"{x}_place"), F.col("z.hashes").alias("hash"))
     both = flat(left, "a").join(flat(right, "b"), "hash")
     return both.groupBy("a", "b", (F.col("b_place") - F.col("a_place")).alias("shift")).agg(F.count("*").alias("anchors"))

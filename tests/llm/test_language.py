@@ -72,8 +72,7 @@ TEXTS = ["Ab, éa", None, "", "12 .. ", "Привет, МИР", "日本語の文
 def test_ngrams_of_characters_against_a_scan(monkeypatch):
     want = {k: found for k, t in enumerate(TEXTS) if (found := brute(t))}
     assert counts(TEXTS) == want
-    monkeypatch.setattr("postlane.llm.common.BLOCK_BYTES", 1)  # a block for each text, cut into pieces
-    for piece in (1, 2, 5):
+    for piece in (1, 2, 5, 20):  # blocks of a text or two, long ones cut into pieces
         monkeypatch.setattr(language, "_PIECE", piece)
         assert counts(TEXTS) == want
 
