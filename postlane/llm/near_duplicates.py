@@ -16,12 +16,14 @@ from postlane.llm.words import ALNUM, Hasher, lower, spans
 SEGMENTS, INDICES, WORDS = 11, 1 << golay.DATA, 4
 #: Most differing bits of all 256.
 NEAR_WIDE = 52
-#: Fingerprints of a bucket above which it is split, fingerprints that a task compares at once, bytes that it is sent.
-GROUP, CHUNK, TASK_BYTES = 1 << 17, 1 << 16, 64 << 20
+#: Fingerprints of a bucket above which it is split, fingerprints that a task deals or searches at once, pairs that it compares at once, bytes that it is sent.
+GROUP, DEAL, CHUNK, PAIRS, TASK_BYTES = 1 << 17, 1 << 14, 1 << 16, 1 << 17, 64 << 20
 #: The least ratio between the numbers of different words of two near duplicates. The votes of long words outweigh the
 #: others, so a text stripped of its short words would pass for a copy.
 NEAR_SIZE = 0.8
 
+#: Bytes of text, and words of it, whose votes are counted at a time.
+_PIECE, _VOTES = 256 << 10, 1 << 13
 #: A fingerprint on its way to a bucket; the number of words also says, in its upper bit, on which side of a cell it is.
 _ROW = np.dtype([("w", "<u8", (WORDS,)), ("doc", "<i8"), ("n", "<u4")])
 _SCHEMA = "doc_id bigint, w0 bigint, w1 bigint, w2 bigint, w3 bigint, n bigint"
@@ -35,7 +37,7 @@ def signatures(text: pa.Array, hasher: Hasher | None = None) -> tuple[np.ndarray
     """
     hasher = hasher or Hasher()
     out, size_of = np.zeros((len(text), WORDS), np.uint64), np.zeros(len(text), np.int64)
-    for first, _, raw, offsets in blocks(text):
+    for first, _, raw, offsets in blocks(text, _PIECE):
         low = lower(raw)
         starts, ends, of = spans(low, offsets, ALNUM)
         if not len(starts):
@@ -47,8 +49,8 @@ def signatures(text: pa.Array, hasher: Hasher | None = None) -> tuple[np.ndarray
         weight = (size * size).astype(np.float32)
         cut = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
         votes = np.zeros((len(cut), WORDS * 64))
-        for part in range(0, len(h), 1 << 16):
-            bits = np.unpackbits(np.stack([mix(h[part : part + (1 << 16)] + np.uint64(k + 1)) for k in range(WORDS)], axis=1).view(np.uint8), axis=1, bitorder="little")
+        for part in range(0, len(h), _VOTES):
+            bits = np.unpackbits(np.stack([mix(h[part : part + _VOTES] + np.uint64(k + 1)) for k in range(WORDS)], axis=1).view(np.uint8), axis=1, bitorder="little")
             for row in range(np.searchsorted(cut, part, "right") - 1, np.searchsorted(cut, part + len(bits))):
                 a, b = max(cut[row], part), min(cut[row + 1] if row + 1 < len(cut) else len(h), part + len(bits))
                 votes[row] += (2 * (weight[a:b] @ bits[a - part : b - part].astype(np.float32))) - weight[a:b].sum()
@@ -83,45 +85,116 @@ def buckets(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(out)
 
 
-def close_pairs(words: np.ndarray, cell: np.ndarray, bucket: np.ndarray, near_wide: int, wanted) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y), x < y: rows of one cell that share the index of a segment beyond their bucket's, differ in at most near_wide bits and are wanted(x, y).
-
-    Keys of one segment are sorted at a time; rows with equal keys are compared at growing offsets, so memory doesn't
-    grow with the rows that share a key. A pair counts in the first bucket that it shares alone, so that it is found
-    once, whatever cells it meets in.
+def _shared(words: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least index that x[k] and y[k], words of 23 bits, have in common, or INDICES. Within two bits there is one, beyond eight there is none."""
+    out = np.full(len(x), INDICES)
+    near = np.flatnonzero(np.bitwise_count(words[x] ^ words[y]) <= 8)
+    for part in range(0, len(near), 1 << 15):
+        at = near[part : part + (1 << 15)]
+        (a, use_a), (b, use_b) = golay.indices(words[x[at]]), golay.indices(words[y[at]])
+        a, b = np.where(use_a, a, INDICES), np.where(use_b, b, -1)
+        out[at] = np.where((a[:, :, None] == b[:, None, :]).any(axis=2), a, INDICES).min(axis=1)
+    return out
+
+
+def _runs(first: np.ndarray, after: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(p, q) for each p and each q from first[p] to after[p] - 1, about PAIRS at a time; one p's stay together."""
+    n = np.maximum(after - first, 0)
+    ends = np.cumsum(n)
+    part = 0
+    while part < len(n):
+        last = max(part + 1, int(np.searchsorted(ends, (ends[part - 1] if part else 0) + PAIRS, "right")))
+        m = n[part:last]
+        p = np.repeat(np.arange(part, last), m)
+        yield p, np.arange(len(p)) - np.repeat(np.cumsum(m) - m, m) + first[p]
+        part = last
+
+
+def close_pairs(words: np.ndarray, cell: np.ndarray, bucket: np.ndarray, after: np.ndarray, near_wide: int, wanted) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (x, y), x < y: rows of one cell that share the index of a segment beyond their bucket's, differ in at most near_wide bits and are wanted(x, y).
+
+    Rows are in order of their cells, and x has partners before after[x] alone. Rows with equal keys of a segment are
+    compared; those of a cell where that makes more comparisons than it has pairs, as a family of near copies does,
+    are compared with all others at once. A pair counts in the first bucket and there under the first key that it
+    shares alone, so that it is found once, whatever cells it meets in, and nothing is held but a block of pairs.
     """
     segment = bucket // INDICES
-    index, use = [], []
-    for part in range(0, len(words), 1 << 14):
-        found = [golay.indices(x) for x in segments(words[part : part + (1 << 14)]).T]
-        index.append(np.stack([i for i, _ in found]).astype(np.int16))
-        use.append(np.stack([m for _, m in found]))
-    index, use = np.concatenate(index, axis=1), np.concatenate(use, axis=1)
-    w, pairs = np.ascontiguousarray(words.T), [np.zeros(0, np.int64)]
+    pieces = segments(words).T.astype(np.int32)
+    w = np.ascontiguousarray(words.T)
+
+    def near(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ok = _apart(w[:2], x, y) <= near_wide
+        x, y = x[ok], y[ok]
+        for s in range(SEGMENTS - 2):  # most pairs of a family met in an earlier bucket
+            ok = (segment[x] <= s) | (np.bitwise_count(pieces[s, x] ^ pieces[s, y]) > 2)
+            if not ok.all():
+                x, y = x[ok], y[ok]
+        ok = _apart(w, x, y) <= near_wide
+        x, y = x[ok], y[ok]
+        ok = wanted(x, y)
+        x, y = x[ok], y[ok]
+        for s in range(SEGMENTS - 1):
+            at = np.flatnonzero(segment[x] >= s)
+            if len(at):
+                first = _shared(pieces[s], x[at], y[at])
+                ok = np.ones(len(x), bool)
+                ok[at] = first == np.where(segment[x[at]] == s, bucket[x[at]] % INDICES, INDICES)
+                x, y = x[ok], y[ok]
+        return x, y
+
+    def keys(b: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(key, row, the place after the last partner) of each index of segment b of the rows, in order of key and row."""
+        packed = []
+        for part in range(0, len(rows), 1 << 14):
+            r = rows[part : part + (1 << 14)]
+            index, use = golay.indices(pieces[b, r])
+            k, i = np.nonzero(use)
+            packed.append((cell[r[k]] * INDICES + index[k, i]) << 32 | r[k])
+        packed = np.sort(np.concatenate(packed)) if packed else np.zeros(0, np.int64)
+        key, row = packed >> 32, packed & 0xFFFFFFFF
+        return key, row, np.searchsorted(packed, key << 32 | after[row])
+
+    ways, whole = np.zeros(int(cell[-1]) + 1, np.int64), np.bincount(cell, after - np.arange(len(cell)) - 1).astype(np.int64)
     for b in range(1, SEGMENTS):
-        row, k = np.nonzero(use[b] & (segment < b)[:, None])
-        packed = (cell[row] * INDICES + index[b, row, k]) << 32 | row
-        packed.sort()
-        key, of = packed >> 32, (packed & 0xFFFFFFFF).astype(np.int32)
-        at, far = np.arange(len(key)), 1
-        while len(at := at[at + far < len(key)]) and len(at := at[key[at + far] == key[at]]):
-            x, y = of[at], of[at + far]  # x < y: rows are in order within a key
-            ok = wanted(x, y)
-            x, y = x[ok], y[ok]
+        key, row, end = keys(b, np.flatnonzero(segment < b))
+        ways += np.bincount(key // INDICES, end - np.arange(len(key)) - 1, len(ways)).astype(np.int64)
+    dense = (ways > whole)[cell]
+    for b in range(1, SEGMENTS):
+        key, row, end = keys(b, np.flatnonzero((segment < b) & ~dense))
+        for p, q in _runs(np.arange(len(key)) + 1, end):
+            index = key[p] % INDICES
+            x, y = row[p], row[q]
             ok = _apart(w[:2], x, y) <= near_wide
-            x, y = x[ok], y[ok]
+            x, y, index = x[ok], y[ok], index[ok]
+            for s in range(1, b):  # another key of theirs came before this one
+                ok = (segment[x] >= s) | (np.bitwise_count(pieces[s, x] ^ pieces[s, y]) > 2)
+                if not ok.all():
+                    x, y, index = x[ok], y[ok], index[ok]
             ok = _apart(w, x, y) <= near_wide
-            pairs.append(np.unique(x[ok].astype(np.int64) << 32 | y[ok]))
-            far += 1
-    pairs = np.unique(np.concatenate(pairs))
-    x, y = pairs >> 32, pairs & 0xFFFFFFFF
-    for s in range(SEGMENTS - 1):
-        a, b = np.where(use[s, x], index[s, x], -1), np.where(use[s, y], index[s, y], -2)
-        same = a[:, :, None] == b[:, None, :]
-        first = np.where(same, a[:, :, None], INDICES).min(axis=(1, 2))
-        keep = np.where(segment[x] == s, first == bucket[x] % INDICES, (first == INDICES) | (segment[x] < s))
-        x, y = x[keep], y[keep]
-    return x, y
+            x, y, index = x[ok], y[ok], index[ok]
+            ok = _shared(pieces[b], x, y) == index
+            x, y = x[ok], y[ok]
+            for s in range(1, b):
+                at = np.flatnonzero(segment[x] < s)
+                if len(at):
+                    ok = np.ones(len(x), bool)
+                    ok[at] = _shared(pieces[s], x[at], y[at]) == INDICES
+                    x, y = x[ok], y[ok]
+            x, y = near(x, y)
+            if len(x):
+                yield x, y
+    rows = np.flatnonzero(dense)
+    for p, y in _runs(rows + 1, after[rows]):
+        x, y = near(rows[p], y)
+        found = np.zeros(len(x), bool)
+        for s in range(1, SEGMENTS):
+            at = np.flatnonzero(~found & (segment[x] < s))
+            found[at] = np.bitwise_count(pieces[s, x[at]] ^ pieces[s, y[at]]) <= 2
+        for s in range(1, SEGMENTS):
+            at = np.flatnonzero(~found & (segment[x] < s))
+            found[at] = _shared(pieces[s], x[at], y[at]) < INDICES
+        if found.any():
+            yield x[found], y[found]
 
 
 def _fingerprint(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +258,7 @@ def _deal(split: np.ndarray):
                 found = np.empty(b.num_rows, _ROW)
                 found["w"], found["doc"], found["n"] = _words(b), b.column("doc_id").to_numpy(), b.column("n").to_numpy()
                 held.append(found)
-                if sum(map(len, held)) * int(split.max()) >= CHUNK // 2:
+                if sum(map(len, held)) * int(split.max()) >= DEAL:
                     yield from flush()
         if held:
             yield from flush()
@@ -194,18 +267,26 @@ def _deal(split: np.ndarray):
 
 
 def _search(near_wide: int, near_size: float):
-    def pairs(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """The pairs of cells (a, b, bits)."""
+
+    def pairs(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x for _, x in found), _ROW)
         size = np.array([len(x) // _ROW.itemsize for _, x in found])
         cell = np.repeat(np.array([c for c, _ in found]), size)
         no = np.cumsum(np.r_[False, cell[1:] != cell[:-1]])
-        n, side, doc = (rows["n"] & np.uint32(0x7FFFFFFF)).astype(np.int64), rows["n"] >> np.uint32(31), rows["doc"]
+        n = (rows["n"] & np.uint32(0x7FFFFFFF)).astype(np.int64)
+        order = np.argsort(no << 32 | n, kind="stable")
+        rows, cell, n = rows[order], cell[order], n[order]
+        most = np.minimum(n / max(near_size, 1e-9), (1 << 31) - 2).astype(np.int64) + 1  # wanted() is exact
+        after = np.searchsorted(no << 32 | n, no << 32 | most, "right")
+        side, doc = rows["n"] >> np.uint32(31), rows["doc"]
         within = (cell >> 20 & 0xFFFFF) == (cell & 0xFFFFF)
-        wanted = lambda x, y: (within[x] | (side[x] != side[y])) & (np.minimum(n[x], n[y]) >= near_size * np.maximum(n[x], n[y]))
+        wanted = lambda x, y: (within[x] | (side[x] != side[y])) & (n[x] >= near_size * n[y])
         words = np.ascontiguousarray(rows["w"])
-        x, y = close_pairs(words, no, cell >> 40, near_wide, wanted)
-        bits = _apart(np.ascontiguousarray(words.T), x, y).astype(np.int32)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(bits)], ["a", "b", "bits"])
+        blocks = close_pairs(words, no, cell >> 40, after, near_wide, wanted)
+        w = np.ascontiguousarray(words.T)
+        for x, y in blocks:
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(_apart(w, x, y).astype(np.int32))], ["a", "b", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -213,12 +294,12 @@ def _search(near_wide: int, near_size: float):
         for b in batches:
             for cell, rows in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if size >= CHUNK * _ROW.itemsize and held[-1][0] != cell:
-                    yield pairs(held)
+                    yield from pairs(held)
                     held, size = [], 0
                 held.append((cell, rows))
                 size += len(rows)
         if held:
-            yield pairs(held)
+            yield from pairs(held)
 
     return run
 

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -162,3 +163,41 @@ def test_recall_against_all_pairs_by_distance(spark):
     for low, high in ((1, 29), (30, 39), (40, 46), (47, nd.NEAR_WIDE)):
         band = [p for p in want if low <= want[p] <= high]
         assert len(band) >= 20 and sum(p in got for p in band) >= 0.9 * len(band), (low, high)
+
+
+def peak(run):
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return out, most
+
+
+def test_memory_of_signatures():
+    r = random.Random(6)
+    text = pa.array([" ".join(f"{r.getrandbits(40):x}" for _ in range(20_000)) for _ in range(16)])
+    (sig, n), most = peak(lambda: nd.signatures(text))
+    assert n.tolist() == [20_000] * 16 and most < 50e6
+
+
+def family(r, n, flips):
+    """Fingerprints that differ from the first in up to `flips` bits."""
+    out = np.repeat(r.integers(0, 1 << 63, (1, 4), dtype=np.uint64), n, axis=0)
+    for k in range(1, n):
+        bits = np.zeros(256, np.uint8)
+        bits[r.choice(256, r.integers(1, flips + 1), replace=False)] = 1
+        out[k] ^= np.packbits(bits, bitorder="little").view(np.uint64)
+    return out
+
+
+def dealt(words):
+    """Batches of cells, as a task of the search gets them."""
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(words))), *(pa.array(words[:, k].view(np.int64)) for k in range(4)), pa.array([9] * len(words))], ["doc_id", "w0", "w1", "w2", "w3", "n"])
+    cells = pa.Table.from_batches(nd._deal(np.ones((nd.SEGMENTS - 1) * nd.INDICES, np.int64))(iter([batch])))
+    return cells.sort_by("cell").to_batches(1000)
+
+
+def test_memory_of_a_large_family():
+    cells = dealt(family(np.random.default_rng(8), 2000, 12))
+    rows, most = peak(lambda: sum(b.num_rows for b in nd._search(nd.NEAR_WIDE, nd.NEAR_SIZE)(iter(cells))))
+    assert rows == 2000 * 1999 // 2 and most < 120e6

@@ -54,3 +54,16 @@ def test_the_whole_run(spark):
         loads[r["bin_id"]] = loads.get(r["bin_id"], 0) + r["words"]
     assert rows and max(loads.values()) <= 2048
     assert len({r["doc_id"] for r in rows}) > 150
+
+
+def test_texts_go_to_python_in_small_batches(spark, docs):
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    try:
+        for given, want in (("10000", cp.BATCH), ("0", cp.BATCH), ("50", 50)):
+            for stage, run in cp.STAGES[2:3]:
+                spark.conf.set(name, given)
+                run(spark, docs, "")
+                assert int(spark.conf.get(name)) == want, stage
+    finally:
+        spark.conf.set(name, before)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +136,13 @@ def test_repeated_rows_and_one_long_text(spark, field):
     assert sorted(str(r["doc_id"]) for r in rows) == ["1", "1", "2", "None"]
     assert [r["begin"] for r in rows if r["doc_id"] == 2] == [500_000 + text.index("04")]
     assert len(list(secrets.find(pa.array([None, ""]), field))) == 0
+
+
+def test_memory_of_a_batch(field):
+    text = pa.array(["word and Other7 words, key=value " * 2000] * 64)  # 4 MB
+    list(secrets.find(text[:1], field))
+    tracemalloc.start()
+    found = list(secrets.find(text, field))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == [] and most < 80e6
