@@ -266,8 +266,21 @@ def _deal(split: np.ndarray):
     return run
 
 
-def _search(near_wide: int, near_size: float):
-    """The pairs of cells (a, b, bits)."""
+def _joined(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Make root[k] the least of what k is connected to, once x[k] and y[k] are connected as well; roots are their own roots."""
+    while True:
+        a, b = root[x], root[y]
+        open = a != b
+        if not open.any():
+            return
+        x, y, a, b = x[open], y[open], a[open], b[open]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root != (up := root[root])).any():
+            root[:] = up
+
+
+def _search(near_wide: int, near_size: float, links: bool = False):
+    """The pairs of cells (a, b, bits), or for each fingerprint that has any (a, b, links): the least that it is connected to in them, and their number."""
 
     def pairs(found: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         rows = np.frombuffer(b"".join(x for _, x in found), _ROW)
@@ -284,9 +297,18 @@ def _search(near_wide: int, near_size: float):
         wanted = lambda x, y: (within[x] | (side[x] != side[y])) & (n[x] >= near_size * n[y])
         words = np.ascontiguousarray(rows["w"])
         blocks = close_pairs(words, no, cell >> 40, after, near_wide, wanted)
-        w = np.ascontiguousarray(words.T)
+        if not links:
+            w = np.ascontiguousarray(words.T)
+            for x, y in blocks:
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(_apart(w, x, y).astype(np.int32))], ["a", "b", "bits"])
+            return
+        ids, of = np.unique(doc, return_inverse=True)
+        root, count = np.arange(len(ids)), np.zeros(len(ids), np.int64)
         for x, y in blocks:
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[x], doc[y])), pa.array(np.maximum(doc[x], doc[y])), pa.array(_apart(w, x, y).astype(np.int32))], ["a", "b", "bits"])
+            count += np.bincount(of[x], minlength=len(ids)) + np.bincount(of[y], minlength=len(ids))
+            _joined(root, of[x], of[y])
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(ids[root[at]]), pa.array(count[at])], ["a", "b", "links"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes]] = []
@@ -304,6 +326,17 @@ def _search(near_wide: int, near_size: float):
     return run
 
 
+def _searched(prints: DataFrame, near_wide: int, near_size: float, group: int, links: bool) -> DataFrame:
+    counted = prints.mapInArrow(_count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 40,960 rows at most
+    split = np.ones((SEGMENTS - 1) * INDICES, np.int64)
+    for r in counted:
+        split[r["bucket"]] = -(-r["n"] // group)
+    sent = sum(r["n"] * int(split[r["bucket"]]) for r in counted) * _ROW.itemsize
+    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_BYTES))
+    dealt = prints.mapInArrow(_deal(split), "cell bigint, rows binary").repartition(tasks, "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_search(near_wide, near_size, links), "a bigint, b bigint, links bigint" if links else "a bigint, b bigint, bits int")
+
+
 def wide_pairs(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE, group: int = GROUP) -> DataFrame:
     """(a, b, bits), a < b: fingerprints that differ in at most near_wide of 256 bits, of texts with like numbers of words, given one row for each; each pair once.
 
@@ -314,14 +347,15 @@ def wide_pairs(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float =
     the fingerprints alone. Buckets are counted first: one of more than `group` fingerprints, as a large family of
     near copies makes, is split into groups, and every two groups have a cell, so that no task holds more than two.
     """
-    counted = prints.mapInArrow(_count, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # 40,960 rows at most
-    split = np.ones((SEGMENTS - 1) * INDICES, np.int64)
-    for r in counted:
-        split[r["bucket"]] = -(-r["n"] // group)
-    sent = sum(r["n"] * int(split[r["bucket"]]) for r in counted) * _ROW.itemsize
-    tasks = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-sent // TASK_BYTES))
-    dealt = prints.mapInArrow(_deal(split), "cell bigint, rows binary").repartition(tasks, "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_search(near_wide, near_size), "a bigint, b bigint, bits int")
+    return _searched(prints, near_wide, near_size, group, False)
+
+
+def wide_links(prints: DataFrame, near_wide: int = NEAR_WIDE, near_size: float = NEAR_SIZE, group: int = GROUP) -> DataFrame:
+    """(a, b, links): what the pairs of wide_pairs() come to, in rows that grow with the fingerprints and not with the pairs.
+
+    Connected components of the edges (a, b) are those of the pairs, and the sum of a's links is the number of its pairs.
+    """
+    return _searched(prints, near_wide, near_size, group, True)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -359,9 +393,9 @@ def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: floa
     every = settle(fingerprints(docs), "prints")
     words = ["n", *(f"w{k}" for k in range(WORDS))]
     node = settle(every.groupBy(*words).agg(F.min("doc_id").alias("doc_id")), "nodes")
-    pairs = settle(wide_pairs(node, near_wide, near_size), "pairs")
-    root = components(pairs)
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("linked")).groupBy("linked").agg(F.count("*").alias("links"))
+    linked = settle(wide_links(node, near_wide, near_size), "links")
+    root = components(linked)
+    degree = linked.groupBy(F.col("a").alias("linked")).agg(F.sum("links").alias("links"))
     to = node.alias("n").join(root.alias("r"), F.expr("n.doc_id = r.node"), "left").join(degree.alias("d"), F.expr("n.doc_id = d.linked"), "left")
     to = to.select(F.col("n.doc_id").alias("node"), F.coalesce("r.root", "n.doc_id").alias("root"), F.coalesce("d.links", F.lit(0)).alias("links"), *(f"n.{w}" for w in words))
     member = every.alias("e").join(to.alias("t"), F.expr(" AND ".join(f"e.{w} = t.{w}" for w in words))).where("e.doc_id <> t.root")
@@ -369,7 +403,7 @@ def near_duplicates(docs: DataFrame, near_wide: int = NEAR_WIDE, near_size: floa
     head = node.alias("h")
     met = member.select("e.doc_id", "t.root", "t.links", *(f"e.{w}" for w in words)).distinct().alias("m").join(head, F.expr("m.root = h.doc_id"), "left")
     found = met.groupBy("m.doc_id").agg(F.min("m.root").alias("duplicate_of"), F.min(F.expr(bits)).alias("bits"), F.max("m.links").alias("links"))
-    return kept(found, "duplicates", every, node, pairs, root)
+    return kept(found, "duplicates", every, node, linked, root)
 
 
 def keep_first(docs: DataFrame, **parameters: float) -> DataFrame:

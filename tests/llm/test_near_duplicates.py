@@ -201,3 +201,20 @@ def test_memory_of_a_large_family():
     cells = dealt(family(np.random.default_rng(8), 2000, 12))
     rows, most = peak(lambda: sum(b.num_rows for b in nd._search(nd.NEAR_WIDE, nd.NEAR_SIZE)(iter(cells))))
     assert rows == 2000 * 1999 // 2 and most < 120e6
+
+
+def test_links_stand_for_all_pairs(spark):
+    words = np.concatenate([family(np.random.default_rng(k), n, 14) for k, n in ((1, 300), (2, 40), (3, 1))])
+    df = table(spark, [(k, *w, 9) for k, w in enumerate(words.view(np.int64).tolist())], nd._SCHEMA)
+    pairs = {(x["a"], x["b"]) for x in nd.wide_pairs(df).collect()}
+    assert pairs == {*itertools.combinations(range(300), 2), *itertools.combinations(range(300, 340), 2)}
+    for group in (nd.GROUP, 50):
+        rows = nd.wide_links(df, group=group)
+        got = rows.collect()
+        if group == nd.GROUP:
+            assert len(got) < len(pairs) / 4
+        links = {}
+        for x in got:
+            links[x["a"]] = links.get(x["a"], 0) + x["links"]
+        assert links == {k: 299 if k < 300 else 39 for k in range(340)}
+        assert {x["node"]: x["root"] for x in nd.components(rows).collect()} == {k: 0 if k < 300 else 300 for k in range(340) if k not in (0, 300)}
