@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from postlane.functions.tokenizers import Tokenizer, whitespace
-from postlane.operators.index import SearchIndex, postings_of, stats_of, triples
+from postlane.operators.index import SearchIndex, postings_of, stats_of
 
 _POSTINGS = "term string, doc_id bigint, tf int, posns array<int>, doc_len int"
 _DOCS = "doc_id bigint, doc_len int, words array<string>"
@@ -18,7 +18,7 @@ def append_stream(docs: DataFrame, path: str, checkpoint: str, text: str = "text
     def write(batch: DataFrame, number: int) -> None:
         SearchIndex.build(batch, text, doc_id, tokenizer).rows.write.mode("overwrite").parquet(f"{path}/docs/batch={number}")
         rows = batch.sparkSession.read.schema(_DOCS).parquet(f"{path}/docs/batch={number}")
-        postings_of(triples(rows)).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
+        postings_of(rows).sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings/batch={number}")
 
     return docs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
 
