@@ -1,5 +1,7 @@
 import numpy as np
+from pyspark.sql import functions as F
 
+from postlane.functions.tokenizers import from_callable
 from postlane.operators import gather
 from postlane.operators.index import SearchIndex
 
@@ -34,3 +36,18 @@ def test_stretches_hold_no_more_than_they_may():
     sizes = np.array([2, 3, 9, 0, 0, 5, 1])
     assert list(gather.stretches(sizes, 5)) == [(0, 2), (2, 3), (3, 6), (6, 7)]
     assert list(gather.stretches(np.array([], dtype=int), 5)) == []
+
+
+def test_a_function_of_ones_own_cuts_a_stretch_at_a_time(spark):
+    def cut(text):
+        class Word(str):
+            def __del__(self):
+                held[0] -= 1
+
+        held[0] += 1
+        return [Word(held[0])]
+
+    held = [0]
+    texts = spark.range(0, 200, 1, 1).selectExpr("id AS doc_id", "repeat('x', 65536) AS text")
+    words = texts.select(from_callable(cut).column(F.col("text")).alias("w"))
+    assert words.selectExpr("max(int(w[0]))", "count(*)").first() == (4, 200)  # not all 200 at once
